@@ -1,8 +1,63 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, personal data, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, personal data, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), decides over all of docs and returns a DataFrame; every one but the last returns the
+columns of documents. Null or empty texts stay until packing, where they are an end token alone.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import minhash, packing, pii, suffixes, toxicity
+from lodestone.llm.common import table, written
+
+#: SQL has neither the classifier nor the tokenizer; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores under 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_column(docs, model, name="_score").where(F.col("_score") < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur elsewhere too; n_chars follows the text."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with labels in place of personal data; n_chars follows the text."""
+    return pii.redacted(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each on the written result of the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

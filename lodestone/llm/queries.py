@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, ogg, packing, pii, topk, toxicity, warc
+from . import bpe, chat, minhash, ogg, packing, pii, suffixes, topk, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_conversations(chat.format_conversations(rows)))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal(table(spark, sf_dir, "documents"), 400)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"), min_bytes=0)
     return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_bpe, op4_topk, op5_ogg, op6_packing, op7_chat, op9_warc, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_pii, op3_bpe, op4_topk, op5_ogg, op6_packing, op7_chat, op8_suffixes, op9_warc, op10_toxicity)}
 
 
 ORACLE_SQL: dict[str, str] = {
