@@ -53,3 +53,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
+
+
+from lodestone.plans import functions, relational  # noqa: E402,F401  they register themselves
