@@ -190,15 +190,18 @@ FORMATS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%c": "M", "%d": "dd", "%e": "d
 
 
 def pattern(mysql: str) -> str:
-    out, i = "", 0
+    """Spark's pattern for MySQL's; other text is quoted."""
+    out, text, i = "", "", 0
     while i < len(mysql):
-        if mysql[i] == "%" and mysql[i : i + 2] in FORMATS:
-            out += FORMATS[mysql[i : i + 2]]
-            i += 2
-        else:
-            out += f"'{mysql[i]}'" if mysql[i].isalpha() else mysql[i]
+        known = FORMATS.get(mysql[i : i + 2])
+        if known is None:
+            text += mysql[i].replace("'", "''")
             i += 1
-    return out
+        else:
+            out += (f"'{text}'" if text else "") + known
+            text = ""
+            i += 2
+    return out + (f"'{text}'" if text else "")
 
 
 def date_format(t: Column, mysql: str) -> Column:
