@@ -5,9 +5,9 @@ shifted circularly by 0, 1, 2, ..., gives every coordinate of the signature: coo
 pi[(sigma(s) + k) mod D] over the shingles s. As shifts are neighbours in pi, a shingle's coordinates are one slice of it.
 The coordinates are banded; documents that share a band are candidates, and links are confirmed on full shingle sets.
 
-Within a band's bucket nobody pairs all members. Every member is compared with the bucket's smallest; then, while a bucket
-still holds several components, with more and more leaders (four times as many a round, chosen by a hash), across
-components alone, until no two members of different components are left uncompared. Hot keys are joins that adaptive
+Within a band's bucket nobody pairs all members. Every member is compared with the bucket's leader; then, while a bucket
+still holds several components, with more and more leaders (four times as many a round, chosen by a hash of document and
+bucket), across components alone, until no two members of different components are left uncompared. Hot keys are joins that adaptive
 execution can split. Equal shingle sets are one node from the start, so that copies cost one row each.
 
 With 32 bands of 6, a pair at similarity 0.8 shares no band with probability 6e-5, at 0.9 with 4e-11.
@@ -28,6 +28,7 @@ from .common import arrow_map, documents, small_batches, texts_of, written
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 20
+LEADERS = 3
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
@@ -171,32 +172,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = signed.where("set_key is not null and doc_id is not null")
     groups = written(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other"), F.min("bands").alias("bands")), "groups")
     entries = groups.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last").drop("last")
+    # A bucket's leader is the least by one of LEADERS orders, so that members of a loose group meet several of each other.
+    order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))), "id")
+    buckets = entries.groupBy("key").agg(F.min(order).getField("id").alias("leader"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "leader", "n")
     shared = written(entries.join(buckets, "key"), "buckets")
-    pairs = written(shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    pairs = written(shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "pairs")
     ends = written(shared.select("id").distinct(), "ends")
     sets = written(_sets(documents(docs).join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-    links = _confirmed(pairs, sets, percent)
-    # A set's smallest id may differ between the sets of a doc_id that occurs repeatedly; they are one document.
-    links = written(links, "confirmed")
+    found = components(_confirmed(pairs, sets, percent))
+    labels = written(ends.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
     leaders = 1
     while True:
-        labels = components(links)
-        labelled = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        labelled = shared.join(labels, "id")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        rest = written(labelled.join(mixed, "key"), "mixed")
+        rest = written(labelled.join(mixed, "key").select("key", "id", "n", "component"), "mixed")
+        chance = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) * F.col("n")
+        before, now = F.lit(leaders * (1 << 30) if leaders > 1 else 0), F.lit(4 * leaders * (1 << 30))
         leaders *= 4
-        chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) * F.col("n")
-        before, now = F.lit((leaders // 4) * (1 << 30) if leaders > 4 else 0), F.lit(leaders * (1 << 30))
-        chosen = rest.where((chance < now) & (chance >= before)).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
+        chosen = rest.where((chance >= before) & (chance < now)).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
         more = rest.join(chosen, "key").where("component <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            links = written(links.union(_confirmed(more, sets, percent)), "confirmed")
-            pairs = pairs.union(more)
+        links = _confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent)
+        name = labels.select(F.col("id"), "component")
+        joint = links.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+        joint = written(joint, "joint")
+        if joint.limit(1).count():
+            merged = components(joint).toDF("component", "into")
+            labels = written(labels.join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")), "labels")
         if not rest.where(F.col("n") > leaders).limit(1).count():
             break
-    labels = components(links)
     component = groups.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(component, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
