@@ -31,7 +31,7 @@ from .common import small_batches, written
 
 LENGTH = 400
 GRAM = 64
-GROUP_BYTES = 256 << 10
+GROUP_BYTES = 4 << 20
 SORT_BYTES = 64 << 10
 #: Bytes of text whose minimizers are computed at once; places in it take 24 bits.
 PIECE = 2 << 20
@@ -188,45 +188,84 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def _agreement(parts: list[bytes]) -> list[int]:
+    """Of each part, the longest beginning that another part shares: with a neighbour in sorted order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, key, copies, data), those of a gram one after another: (gram, key, from, to) of starts that repeat."""
+    """Rows (gram, key, copies, off, data), those of a gram one after another: (gram, key, a, b) of starts a to b that repeat.
+
+    Equal strings are equal to both sides of their minimizer. So what lies beyond the longest agreement to the left and to the
+    right with any other stretch of the minimizer can't be in a repeat: stretches are clipped to it, and equal clips are
+    one, before they are sorted."""
+    rows: list[tuple] = []
+    clips: dict[tuple[int, int, bytes], int] = {}
+    times: list[int] = []
+    size = 0
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        marks = repeats([r[3] for r in rows], length) if len(rows) > 1 else [np.zeros(len(r[3]), dtype=bool) for r in rows]
+    def solve() -> pa.RecordBatch:
+        # Clips by their bytes alone: another minimizer's clips can't hold the same strings.
+        marks = repeats([c for _, _, c in clips], length) if len(clips) > 1 else [np.zeros(len(c), dtype=bool) for _, _, c in clips]
         out: tuple[list, ...] = ([], [], [], [])
-        for (gram, key, copies, data), mark in zip(rows, marks, strict=True):
+        for gram, key, copies, n, low, clip in rows:
             if copies > 1:
-                mark = np.arange(len(data)) <= len(data) - length
+                mark = np.ones(n - length + 1, dtype=bool)
+            else:
+                mark = np.zeros(n - length + 1, dtype=bool)
+                own = marks[clip][: len(marks[clip]) - length + 1]
+                mark[low : low + len(own)] = own | (times[clip] > 1)
             for a, b in zip(*_runs(mark), strict=True):
                 for column, value in zip(out, (gram, key, int(a), int(b)), strict=True):
                     column.append(value)
+        rows.clear()
+        clips.clear()
+        times.clear()
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["gram", "key", "a", "b"])
 
-    rows: list[tuple] = []
-    group: list[tuple] = []
-    size = 0
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, group, size
-        if len(group) == 1:
-            yield solve(group)
-        else:
-            rows += group
-            size += sum(len(r[3]) for r in group)
-        group = []
-        if size >= SORT_BYTES:
-            yield solve(rows)
-            rows, size = [], 0
+    def settle(group: list[tuple]) -> int:
+        right = _agreement([data[off:] for *_, off, data in group])
+        left = _agreement([data[:off][::-1] for *_, off, data in group])
+        added = 0
+        for (gram, key, copies, off, data), r, l in zip(group, right, left, strict=True):
+            clip = -1
+            if l + r >= length:
+                name = (gram, l, data[off - l : off + r])
+                clip = clips.get(name, -1)
+                if clip < 0:
+                    clip = clips[name] = len(times)
+                    times.append(0)
+                    added += len(name[2])
+                times[clip] += 1
+            if clip >= 0 or copies > 1:
+                rows.append((gram, key, copies, len(data), off - l, clip))
+        return added
 
+    group: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][0] != row[0]:
-                yield from settle()
+                size += settle(group)
+                group = []
+                if size >= SORT_BYTES or len(rows) >= 20_000:
+                    yield solve()
+                    size = 0
             group.append(row)
     if group:
-        yield from settle()
-    if rows:
-        yield solve(rows)
+        settle(group)
+    yield solve()
 
 
 def _by_hash(strings: DataFrame, length: int) -> DataFrame:
@@ -273,23 +312,23 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for row_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("row_id", "text", "places")), strict=True):
                 raw = text.encode()
                 for gram, at, first, last in {(p["gram"], p["at"], p["first"], p["last"]) for p in found}:
                     data = raw[first : last + length]
                     key = hashlib.blake2b(b"%d:" % (at - first) + data, digest_size=16).digest()
-                    for column, value in zip(out, (gram, key, row_id, first, data), strict=True):
+                    for column, value in zip(out, (gram, key, row_id, first, at - first, data), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "row_id", "first", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "row_id", "first", "off", "data"])
 
-    pieces = written(texts.select("row_id", "text", "places").mapInArrow(cut, "gram long, key binary, row_id binary, first int, data binary"), "pieces")
-    strings = written(pieces.groupBy("gram", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("data").alias("data")), "strings")
+    pieces = written(texts.select("row_id", "text", "places").mapInArrow(cut, "gram long, key binary, row_id binary, first int, off int, data binary"), "pieces")
+    strings = written(pieces.groupBy("gram", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("off").alias("off"), F.first("data").alias("data")), "strings")
     sizes = strings.groupBy("gram").agg(F.sum(F.octet_length("data")).alias("size"), F.sum("copies").alias("n")).where("n > 1")
     large = written(sizes.where(F.col("size") > GROUP_BYTES).select("gram"), "large-grams")
     small = strings.join(large, "gram", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = small.select("gram", "key", "copies", "data").repartition(parts, "gram").sortWithinPartitions("gram")
+    ordered = small.select("gram", "key", "copies", "off", "data").repartition(parts, "gram").sortWithinPartitions("gram")
     found = ordered.mapInArrow(lambda batches: _sorted_groups(batches, length), "gram long, key binary, a int, b int")
     if large.limit(1).count():
         found = found.unionByName(_by_hash(strings.join(large, "gram").select("gram", "key", "copies", "data"), length))
