@@ -34,42 +34,80 @@ MAX_QUEUES = 1024
 END_ID = 1
 #: Offsets of blocks in queues are broadcast up to so many rows, about 50 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+CACHED_STRETCHES = 500_000
+#: Regions a task keeps; rows of a block fall in neighbouring ones.
+KEPT_REGIONS = 96
 
 _state: dict = {}
 
 
 class Encoder:
-    """Token ids by a word-level cache: the tokenizer drops white space and never joins what it separates, so each
-    distinct stretch without white space is encoded once."""
+    """Token ids by a word-level cache. The tokenizer drops white space, ignores case and never joins letters to anything
+    else, so a stretch without white space is encoded once, from its lower-case letters' ids where it is a word with at most a comma or stop.
+    New words are encoded many at a time: a word's last token carries the mark of a word's end."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks = {c: self._one(c) for c in ",.;:!?"}
+
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new lower-case words of letters alone."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                raw, start = ids.tobytes(), 0
+                for w, stop in zip(part, stops.tolist(), strict=True):
+                    self.words[w] = raw[2 * start : 2 * stop]
+                    start = stop
+            else:
+                self.words.update((w, self._one(w)) for w in part)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 16-bit integers."""
         known = self.known
-        if len(known) > CACHED_WORDS:
+        if len(known) > CACHED_STRETCHES:
             known.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
         cut = [None if _SEPARATORS.intersection(t) else t.split() for t in texts]
-        new = list({w for words in cut if words for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (np.asarray(e.ids, dtype="<u2").tobytes() for e in self._encode(part)), strict=True))
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            out.append(b"".join([known[w] for w in words]) if words is not None else np.asarray(self._encode([text])[0].ids, dtype="<u2").tobytes())
+        new = set()
+        for stretches in cut:
+            if stretches:
+                new.update(stretches)
+        new = [w for w in new if w not in known]
+        plain, other = [], []
         for w in new:
+            base, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
+            lower = base.lower()
+            if lower.isalpha() and "\u03a3" not in base and len(lower) < 100:
+                plain.append((w, lower, mark))
+            else:
+                other.append(w)
+        self._learn(list({x for _, x, _ in plain if x not in self.words}))
+        for w, lower, mark in plain:
+            known[w] = self.words[lower] + self.marks[mark] if mark else self.words[lower]
+        for w in other:
+            known[w] = self._one(w)
+        out = []
+        for text, stretches in zip(texts, cut, strict=True):
+            out.append(b"".join([known[w] for w in stretches]) if stretches is not None else self._one(text))
+        for w in other:
             if len(w) > 100:
                 del known[w]
         return out
 
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
 
 #: Python takes these for white space, Unicode's White_Space property doesn't.
 _SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
@@ -137,7 +175,7 @@ class Schedule:
                     offset += take[q]
                     deficit[q] -= take[q]
         self._kept[number] = cuts
-        if len(self._kept) > 8:
+        if len(self._kept) > KEPT_REGIONS:
             self._kept.popitem(last=False)
         return cuts
 
