@@ -34,8 +34,8 @@ MAX_QUEUES = 1024
 END_ID = 1
 #: Offsets of blocks in queues are broadcast up to so many rows, about 50 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-CACHED_WORDS = 700_000
-CACHED_STRETCHES = 500_000
+CACHED_WORDS = 1_200_000
+CACHED_STRETCHES = 700_000
 #: Regions a task keeps; rows of a block fall in neighbouring ones.
 KEPT_REGIONS = 96
 
