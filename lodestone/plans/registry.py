@@ -47,12 +47,57 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+class _Anything:
+    """Stands for columns where only keys and SQL are asked for, which needs no session."""
 
+    def __getattr__(self, name):
+        return self
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    def __call__(self, *a, **k):
+        return self
+
+    def _same(self, *a):
+        return self
+
+    __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = __mod__ = __rmod__ = _same
+    __and__ = __rand__ = __or__ = __ror__ = __invert__ = __neg__ = __getitem__ = _same
+    __eq__ = __ne__ = __lt__ = __le__ = __gt__ = __ge__ = _same
+    __hash__ = None
+
+
+def _defined(real: bool) -> tuple[dict[str, Query], dict[str, str]]:
+    from lodestone.plans import functions, relational
+
+    found, sql = dict(_QUERIES), dict(_ORACLE)
+
+    def add(key: str, f: Query, text: str | None = None) -> None:
+        if key in found:
+            raise ValueError(f"{key} is registered already")
+        found[key] = f
+        if text:
+            sql[key] = text
+
+    x = _Anything()
+    relational.define(add, **({} if real else {"F": x, "S": x, "A": x, "W": x}))
+    functions.define(add, **({} if real else {"F": x, "S": x}))
+    return found, sql
 
 
-from lodestone.plans import functions, relational  # noqa: E402,F401  they register themselves
+_REAL: dict[str, Query] = {}
+
+
+def _run(key: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not _REAL:
+            _REAL.update(_defined(True)[0])
+        return _REAL[key](spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {key: _run(key) for key in _defined(False)[0]}
+
+
+def oracle_sql() -> dict[str, str]:
+    return _defined(False)[1]
