@@ -5,10 +5,13 @@ shifted circularly by 0, 1, 2, ..., gives every coordinate of the signature: coo
 pi[(sigma(s) + k) mod D] over the shingles s. As shifts are neighbours in pi, a shingle's coordinates are one slice of it.
 The coordinates are banded; documents that share a band are candidates, and links are confirmed on full shingle sets.
 
-Within a band's bucket nobody pairs all members. Every member is compared with the bucket's leader; then, while a bucket
-still holds several components, with more and more leaders (four times as many a round, chosen by a hash of document and
-bucket), across components alone, until no two members of different components are left uncompared. Hot keys are joins that adaptive
-execution can split. Equal shingle sets are one node from the start, so that copies cost one row each.
+Within a band's bucket nobody pairs all members. Every member is compared with the bucket's leader, the member whose buckets
+are largest: that of a group of near copies with the fewest changes. Buckets that still hold several components are then split by
+exact prefixes: in an order of all shingles that puts frequent ones last, linked sets share a shingle among their first
+ones, so a bucket of a loose group falls apart into the few that share a change. Members of different components
+that share such a shingle are compared with more and more leaders (four times as many a round, chosen by a hash) until no two
+of different components are left uncompared. Any order is exact; only how well it prunes depends on the counts behind it. Hot keys
+are joins that adaptive execution can split. Equal shingle sets are one node from the start, so that copies cost one row each.
 
 With 32 bands of 6, a pair at similarity 0.8 shares no band with probability 6e-5, at 0.9 with 4e-11.
 
@@ -18,6 +21,8 @@ share a doc_id are one document for linking; rows with a null doc_id are linked
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +33,8 @@ from .common import arrow_map, documents, small_batches, texts_of, written
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 20
-LEADERS = 3
+#: A task reports shingles that so many of its sets hold; those HOT of the highest counts come last in the order of prefixes.
+SEEN, HOT = 4, 1 << 16
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
@@ -150,6 +156,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """At most HOT shingles that many sets hold, the least frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in batch.column("shingles").to_pylist()] or [np.empty(0, "<i8")]), return_counts=True)
+            many = n >= SEEN
+            yield pa.RecordBatch.from_arrays([pa.array(found[many], pa.int64()), pa.array(n[many], pa.int64())], names=["shingle", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "shingle").limit(HOT).collect()
+    return np.array([r["shingle"] for r in reversed(rows)], dtype=np.int64)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """id, key, at, size: the first shingles of each set; two sets with 100 * intersection >= percent * union share one of them."""
+    hot = _frequent(sets)
+    order = np.argsort(hot)
+    hot = hot[order]
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, keys, places, sizes = [], [], [], []
+        for i, x in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            s = np.frombuffer(x, "<i8")
+            rank = np.full(len(s), -1)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                rank = np.where(hot[at] == s, order[at], -1)
+            first = s[np.lexsort((s, rank))][: len(s) - -(-percent * len(s) // 100) + 1]
+            ids.append(np.full(len(first), i))
+            keys.append(first)
+            places.append(np.arange(len(first)))
+            sizes.append(np.full(len(first), len(s)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (ids, keys, places, sizes)], names=["id", "key", "at", "size"])
+
+    return arrow_map(sets, make, "id long, key long, at long, size long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component for every end of a link (a, b): the smallest id reachable. Labels spread along links and jump to
     their own label's label each round, so that rounds grow with the logarithm of a chain; each round is a written table."""
@@ -172,25 +216,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = signed.where("set_key is not null and doc_id is not null")
     groups = written(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other"), F.min("bands").alias("bands")), "groups")
     entries = groups.select("id", F.explode("bands").alias("key"))
-    # A bucket's leader is the least by one of LEADERS orders, so that members of a loose group meet several of each other.
-    order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(LEADERS))), "id")
-    buckets = entries.groupBy("key").agg(F.min(order).getField("id").alias("leader"), F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "leader", "n")
-    shared = written(entries.join(buckets, "key"), "buckets")
-    pairs = written(shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct(), "pairs")
+    sizes = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    shared = written(entries.join(sizes, "key"), "buckets")
+    weights = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    leader = F.max(F.struct("weight", F.xxhash64("id"), "id")).getField("id").alias("leader")
+    buckets = shared.join(weights, "id").groupBy("key").agg(leader)
+    pairs = shared.join(buckets, "key").where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
     ends = written(shared.select("id").distinct(), "ends")
     sets = written(_sets(documents(docs).join(ends.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
     found = components(_confirmed(pairs, sets, percent))
     labels = written(ends.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    labelled = shared.select("id", "key").join(labels, "id")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    loose = written(labelled.join(mixed, "key").select("id").distinct(), "loose")
+    firsts = written(_prefixes(sets.join(loose, "id", "left_semi"), percent), "prefixes")
+    known = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(firsts.join(known, "key"), "shared-prefixes")
     leaders = 1
     while True:
         labelled = shared.join(labels, "id")
         mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        rest = written(labelled.join(mixed, "key").select("key", "id", "n", "component"), "mixed")
+        rest = written(labelled.join(mixed, "key").select("key", "id", "n", "at", "size", "component"), "mixed")
         chance = F.pmod(F.xxhash64("id", "key"), F.lit(1 << 30)) * F.col("n")
         before, now = F.lit(leaders * (1 << 30) if leaders > 1 else 0), F.lit(4 * leaders * (1 << 30))
         leaders *= 4
-        chosen = rest.where((chance >= before) & (chance < now)).select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        more = rest.join(chosen, "key").where("component <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        chosen = rest.where((chance >= before) & (chance < now)).select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("at").alias("at_a"), F.col("size").alias("size_a"))
+        # As many as can be common from the shared shingle on.
+        enough = (100 + percent) * F.least(F.col("size") - F.col("at"), F.col("size_a") - F.col("at_a")) >= percent * (F.col("size") + F.col("size_a"))
+        met = rest.join(chosen, "key").where((F.col("component") != F.col("ca")) & enough)
+        more = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         links = _confirmed(more.join(pairs, ["a", "b"], "left_anti"), sets, percent)
         name = labels.select(F.col("id"), "component")
         joint = links.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
