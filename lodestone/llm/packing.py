@@ -14,6 +14,8 @@ are hashed to that many queues. Rows with equal doc_id are documents of their ow
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from bisect import bisect_right
 from collections import OrderedDict
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +39,9 @@ END_ID = 1
 BROADCAST_ROWS = 200_000
 CACHED_WORDS = 700_000
 CACHED_STRETCHES = 500_000
+CACHED_MARKS = 10_000
+#: Letters below this are spelt by a table.
+LATIN = 0x250
 #: Regions a task keeps; rows of a block fall in neighbouring ones.
 KEPT_REGIONS = 96
 
@@ -44,65 +50,79 @@ _state: dict = {}
 
 class Encoder:
     """Token ids by a word-level cache. The tokenizer drops white space, ignores case and never joins letters to anything
-    else, so a stretch without white space is encoded once, from its lower-case letters' ids where it is a word with at most a comma or stop.
-    New words are encoded many at a time: a word's last token carries the mark of a word's end."""
+    else, so a stretch without white space is encoded once, from its lower-case letters' ids where it is a word with at
+    most a run of ASCII punctuation behind. New words of LATIN letters, which Unicode's NFC leaves alone, go to the
+    tokenizer's model directly, in its own spelling of bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.tokenizer.model
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {i: spell(chr(i))[0][0] for i in range(0x80, LATIN) if chr(i).isalpha()}
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.marks = {c: self._one(c) for c in ",.;:!?"}
+        self.marks: dict[str, bytes] = {}
 
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new lower-case words of letters alone."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                raw, start = ids.tobytes(), 0
-                for w, stop in zip(part, stops.tolist(), strict=True):
-                    self.words[w] = raw[2 * start : 2 * stop]
-                    start = stop
-            else:
-                self.words.update((w, self._one(w)) for w in part)
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word of letters alone."""
+        if word.isascii() or max(word) < chr(LATIN):
+            return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word.translate(self.spelling))])
+        return self._one(word)
+
+    def _learn_others(self, stretches: list[str]) -> None:
+        """Ids of new stretches of any kind: many at a time, told apart by the offsets of their tokens."""
+        for at in range(0, len(stretches), 2000):
+            part = stretches[at : at + 2000]
+            encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.asarray(encoding.ids, dtype="<u2").tobytes()
+            first = np.cumsum([0] + [len(w) + 1 for w in part])
+            cuts = np.searchsorted(np.array([x for x, _ in encoding.offsets], dtype=np.int64), first).tolist()
+            for w, start, stop in zip(part, cuts, cuts[1:], strict=False):
+                self.known[w] = raw[2 * start : 2 * stop]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 16-bit integers."""
+        """Ids as little-endian 16-bit integers. Arrow splits the texts and numbers their distinct stretches, so that
+        Python sees each of these once."""
         known = self.known
         if len(known) > CACHED_STRETCHES:
             known.clear()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        cut = [None if _SEPARATORS.intersection(t) else t.split() for t in texts]
-        new = set()
-        for stretches in cut:
-            if stretches:
-                new.update(stretches)
-        new = [w for w in new if w not in known]
-        plain, other = [], []
-        for w in new:
-            base, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
+        odd = {i for i, t in enumerate(texts) if _SEPARATORS.search(t)}
+        cut = pc.utf8_split_whitespace(pa.array([t if i not in odd else "" for i, t in enumerate(texts)], pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        stretches = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known[""] = b""
+        words, marks, other = self.words, self.marks, []
+        for w in stretches:
+            if w in known:
+                continue
+            base = w.rstrip(string.punctuation)
             lower = base.lower()
-            if lower.isalpha() and "\u03a3" not in base and len(lower) < 100:
-                plain.append((w, lower, mark))
+            if lower.isalpha() and "\u03a3" not in base and len(w) < 100:
+                if (found := words.get(lower)) is None:
+                    found = words[lower] = self._word(lower)
+                if base != w:
+                    mark = w[len(base) :]
+                    if mark not in marks:
+                        if len(marks) > CACHED_MARKS:
+                            marks.clear()
+                        marks[mark] = self._one(mark)
+                    found += marks[mark]
+                known[w] = found
             else:
                 other.append(w)
-        self._learn(list({x for _, x, _ in plain if x not in self.words}))
-        for w, lower, mark in plain:
-            known[w] = self.words[lower] + self.marks[mark] if mark else self.words[lower]
-        for w in other:
-            known[w] = self._one(w)
-        out = []
-        for text, stretches in zip(texts, cut, strict=True):
-            out.append(b"".join([known[w] for w in stretches]) if stretches is not None else self._one(text))
+        self._learn_others(other)
+        ids = pa.array([known[w] for w in stretches], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset :] if len(ids) else np.zeros(1, "<i8")
+        bounds = ends[np.asarray(cut.offsets) - cut.offsets[0].as_py()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        out = [self._one(texts[i]) if i in odd else bytes(raw[a:b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
         for w in other:
             if len(w) > 100:
                 del known[w]
@@ -110,7 +130,7 @@ class Encoder:
 
 
 #: Python takes these for white space, Unicode's White_Space property doesn't.
-_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Schedule:
@@ -196,7 +216,7 @@ class Schedule:
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """A written table: doc_id, queue, block, at (tokens of the queue before, in this block), n, ids (16-bit, with the end id)."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 4000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), F.spark_partition_id().cast("long").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
