@@ -17,7 +17,7 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ from .common import documents, small_batches
 
 BLOCK_BYTES = 96 << 20
 FOLD_BYTES = 64
-BUCKETS = 1 << 16
+#: More than any id; powers of two, both this and FOLD_BYTES.
+WIDE = 1 << 20
 NONE = 2**31 - 1
 
 
@@ -82,38 +83,63 @@ def stretches(text: str) -> Iterator[str]:
 _MEETING = regex.compile(r"\s\s")
 
 
+def two_choices(pairs: dict[tuple[int, int], int]) -> list[int]:
+    """A table in which each pair's entry, a * WIDE^2 + b * WIDE + rank, lies in one of its two slots; -1 where there is none."""
+    size = 1 << max(4, (3 * len(pairs)).bit_length())
+    table, spins = [-1] * size, 0
+    for (a, b), rank in pairs.items():
+        entry, slot = (a * WIDE + b) * WIDE + rank, slots(a, b, size)[0]
+        while entry >= 0:
+            entry, table[slot] = table[slot], entry
+            if entry >= 0:
+                # The one that lay there goes to its other slot.
+                slot = sum(slots(entry // WIDE // WIDE, entry // WIDE % WIDE, size)) - slot
+                spins += 1
+                if spins > 20 * size:
+                    raise ValueError("ranks can't be laid out")
+    return table
+
+
+def slots(a: int, b: int, size: int) -> tuple[int, int]:
+    return (a * 40503 + b * 30103) % size, (a * 2654435761 + b * 2246822519) // 4096 % size
+
+
 def fold(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a binary column's words, by ranked merges over arrays."""
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
-    for (a, b), r in pair_ranks(ranks).items():
-        buckets[(a * 40503 + b * 30103) % BUCKETS][a * BUCKETS + b] = r
-    # Foldable, so that Catalyst makes one literal of it: small key and value arrays by hash, as a map's lookup is linear.
-    text = json.dumps([{"k": list(m), "v": list(m.values())} for m in buckets], separators=(",", ":"))
-    rank_map = F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<bigint>>>")
+    table = two_choices(pair_ranks(ranks))
+    # Foldable, so that Catalyst makes one literal of it; looked up by position, as a map's lookup in Spark is linear.
+    rank_map = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<bigint>")
     of_byte = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     # Bound to a lambda's variable, so that the plan holds the literal once.
-    return F.get(F.transform(F.array(rank_map), lambda m: _folded(word, of_byte, m)), 0)
+    return bound(rank_map, lambda m: _folded(word, of_byte, m, len(table)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _folded(word: Column, of_byte: Column, rank_map: Column) -> Column:
+def _folded(word: Column, of_byte: Column, rank_map: Column, size: int) -> Column:
     def rank(a: Column, b: Column) -> Column:
-        bucket = F.get(rank_map, (a * 40503 + b * 30103).bitwiseAND(BUCKETS - 1).cast("int"))
-        return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], a * BUCKETS + b).cast("int") - 1), F.lit(NONE).cast("bigint"))
+        first = F.get(rank_map, (a * 40503 + b * 30103).bitwiseAND(size - 1).cast("int"))
+        second = F.get(rank_map, F.shiftright(a * 2654435761 + b * 2246822519, 12).bitwiseAND(size - 1).cast("int"))
+        pair, bits = a * WIDE + b, WIDE.bit_length() - 1
+        return F.when(F.shiftright(first, bits) == pair, first.bitwiseAND(WIDE - 1)).when(F.shiftright(second, bits) == pair, second.bitwiseAND(WIDE - 1)).otherwise(F.lit(NONE).cast("bigint"))
 
     ids = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.get(of_byte, F.ascii(c)))
-    start = F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, F.size(ids)), rank).alias("ranks"))
+    start = bound(ids, lambda x: F.struct(x.alias("ids"), F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x)), rank).alias("ranks")))
 
     def step(acc: Column, _: Column) -> Column:
-        low = F.array_min(acc["ranks"])
-        return F.when(low.isNull() | (low == NONE), acc).otherwise(merged(acc, low, F.array_position(acc["ranks"], low).cast("int")))
+        # The least rank and its first place in one number, as array_position costs more than all else.
+        least = F.array_min(F.transform(acc["ranks"], lambda r, i: r * FOLD_BYTES + i))
+        return bound(least, lambda x: F.when(x.isNull() | (x >= NONE * FOLD_BYTES), acc).otherwise(bound(F.struct(F.shiftright(x, FOLD_BYTES.bit_length() - 1).alias("low"), (x.bitwiseAND(FOLD_BYTES - 1) + 1).cast("int").alias("at")), lambda y: merged(acc, y["low"], y["at"]))))
 
     def merged(acc: Column, low: Column, at: Column) -> Column:
-        n = F.size(acc["ids"])
-        new_ids = F.concat(F.slice(acc["ids"], F.lit(1), at - 1), F.array(low), F.slice(acc["ids"], at + 2, n))
+        new_ids = F.flatten(F.array(F.slice(acc["ids"], F.lit(1), at - 1), F.array(low), F.slice(acc["ids"], at + 2, FOLD_BYTES)))
         left = F.when(at > 1, F.array(rank(F.get(acc["ids"], at - 2), low))).otherwise(F.array().cast("array<bigint>"))
-        right = F.when(at + 1 < n, F.array(rank(low, F.get(acc["ids"], at + 1)))).otherwise(F.array().cast("array<bigint>"))
-        new_ranks = F.concat(F.slice(acc["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(acc["ranks"], at + 2, n))
+        right = F.when(at < F.size(acc["ranks"]), F.array(rank(low, F.get(acc["ids"], at + 1)))).otherwise(F.array().cast("array<bigint>"))
+        new_ranks = F.flatten(F.array(F.slice(acc["ranks"], F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(acc["ranks"], at + 2, FOLD_BYTES)))
         return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), start, step, lambda acc: acc["ids"])
