@@ -66,7 +66,7 @@ class _Anything:
 
 
 def _defined(real: bool) -> tuple[dict[str, Query], dict[str, str]]:
-    from lodestone.plans import functions, relational
+    from lodestone.plans import functions, relational, storage  # noqa: F401
 
     found, sql = dict(_QUERIES), dict(_ORACLE)
 
