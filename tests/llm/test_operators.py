@@ -173,3 +173,10 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sum(r.predicted == labels[r.doc_id][1] for r in held) >= 0.95 * len(held)
     none = toxicity.scored(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert all(r.predicted == 0 and 0 <= r.score <= 1 for r in none)
+
+
+def test_packing_encoder_against_the_tokenizer():
+    encoder = packing.Encoder(P.path("word_bpe_49k.json"))
+    texts = ["", "  ", " lead", "a\x1cb c", "x" * 300 + " y", "a\u0085b c  d", "é́ ﬁ ＡＢ", "a​b  \x00c", "İstanbul ǅ ß ẞ ŉ ΑΣ. ʼn", "it's dogs' <|endoftext|> x<|endoftext|>, ''s. a.'s 12. _ __ a_", "ªº µ Å Å"]
+    assert encoder(texts) == [encoder._one(t) for t in texts] == encoder(texts)
+    assert encoder([]) == []
