@@ -32,8 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur elsewhere too; n_chars follows the text."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    """Texts without passages of over 50 words, or of 400 bytes, that occur elsewhere too; n_chars follows the text."""
+    return suffixes.without_passages(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

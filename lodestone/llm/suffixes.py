@@ -15,12 +15,17 @@ counted by Spark, whatever their number. Nothing is sampled or capped.
 
 Defined results: a null or empty text has no bytes and keeps none; texts shorter than `length` stay whole; repeated rows are each
 other's repeats, whether doc_ids are equal, null or not; an empty table gives an empty result.
+
+The pipeline's length is in words: `without_passages` cuts passages of WORDS words that occur elsewhere too, whatever white
+space is between the words, and `length` bytes in fewer words. A text's words become codes of CODE bytes, over which the
+same search runs; strings of bytes with more words inside them are left to it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 LENGTH = 400
+#: The words of a passage that the pipeline cuts: over 50.
+WORDS = 51
+#: Bytes of a word's hash: two words with one code would have to stand in passages that are equal otherwise.
+CODE = 6
 GRAM = 64
 GROUP_BYTES = 4 << 20
 SORT_BYTES = 64 << 10
@@ -39,6 +48,10 @@ _PLACE = 24
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Scripts without spaces, from Thai to Han: a character of theirs is a word.
+_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\s{_SINGLE}]+")
+_CACHED = 400_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -166,16 +179,57 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer hash, place of the minimizer, first and last start of each stretch of the text's strings."""
+class _Codes(dict):
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > _CACHED:
+            self.clear()
+        self[word] = code = hashlib.blake2b(word.encode(), digest_size=CODE).digest()
+        return code
+
+
+_codes = _Codes()
+
+
+def word_codes(text: str) -> bytes:
+    """The text's words as codes of CODE bytes each."""
+    return b"".join(map(_codes.__getitem__, _WORD.findall(text)))
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after its last."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        spans = np.concatenate([[0], np.cumsum(width)])[spans]
+    return spans[:, 0], spans[:, 1]
+
+
+def few_words(text: str, length: int) -> np.ndarray:
+    """For each start of a string, whether it has fewer than WORDS words between its first and its last byte. Equal strings
+    have equally many of them, so that either all starts of a string count or none."""
+    firsts, ends = word_places(text)
+    at = np.arange(max(0, len(text.encode()) - length + 1))
+    return np.searchsorted(ends, at + length) - np.searchsorted(firsts, at, "right") < WORDS
+
+
+def stretches(text: bytes, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer hash, place of the minimizer, first and last start of each stretch of the text's strings; of the starts that
+    are wanted, if not of all."""
     grams, places, firsts, lasts = [], [], [], []
     for at in range(0, len(text) - length + 1, PIECE):
         data = np.frombuffer(text[at : at + PIECE + length - 1], np.uint8)
         h = _mixed(_hashes(data, GRAM))
         ranked = (h & _U(~((1 << _PLACE) - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
         q = (_least(ranked, length - GRAM + 1) & _U((1 << _PLACE) - 1)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1])
+        edge = q[1:] != q[:-1]
+        if wanted is not None:
+            own = wanted[at : at + len(q)]
+            edge |= own[1:] != own[:-1]
+        first = np.concatenate([[0], np.flatnonzero(edge) + 1])
         last = np.concatenate([first[1:] - 1, [len(q) - 1]])
+        if wanted is not None:
+            first, last = first[own[first]], last[own[first]]
         grams.append(h[q[first]].view(np.int64))
         places.append(q[first] + at)
         firsts.append(first + at)
@@ -283,9 +337,10 @@ def _by_hash(strings: DataFrame, length: int) -> DataFrame:
     return starts.join(twice, "mark").select("gram", "key", "a", (F.col("a") + 1).alias("b"))
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str], bytes] = str.encode, wanted: Callable[[str, int], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """Two written tables: rows (row_id, doc_id, n_bytes, sha256) and spans (row_id, spans array<struct<a, b>>, text, doc_id)
-    for the rows that lose bytes. docs: doc_id, text."""
+    for the rows that lose bytes. docs: doc_id, text. Spans are places in what `encoded` makes of a text; `wanted` tells
+    which of its starts count."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"), 256)).withColumn("row_id", F.unhex("row_id"))
@@ -295,7 +350,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
             columns: list[list] = [[] for _ in range(5)]
             for text in batch.column("text").to_pylist():
                 raw = text.encode()
-                found = stretches(raw, length)
+                found = stretches(encoded(text), length, wanted and wanted(text, length))
                 for column, values in zip(columns[:4], found, strict=True):
                     column.append(values)
                 columns[4].append((len(raw), hashlib.sha256(raw).hexdigest()))
@@ -314,7 +369,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for row_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("row_id", "text", "places")), strict=True):
-                raw = text.encode()
+                raw = encoded(text)
                 for gram, at, first, last in {(p["gram"], p["at"], p["first"], p["last"]) for p in found}:
                     data = raw[first : last + length]
                     key = hashlib.blake2b(b"%d:" % (at - first) + data, digest_size=16).digest()
@@ -381,7 +436,39 @@ def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> D
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs with repeated passages cut out of text. Where a cut splits a character, what is left of it is
     replaced by U+FFFD. A text of which nothing is left stays, empty."""
-    found = removal(docs, length, keep_text=True).where("kept is not null").select("row_id", "kept").dropDuplicates(["row_id"])
+    return _replaced(docs, removal(docs, length, keep_text=True).where("kept is not null").select("row_id", "kept").dropDuplicates(["row_id"]))
+
+
+def passages(text: str, words: list[dict], strings: list[dict], length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes in repeated passages: starts among the codes of the words, and starts of strings of bytes."""
+    firsts, ends = word_places(text)
+    found = [{"a": a, "b": b + 1 - length} for a, b in covered(strings, length)]
+    for x in words:
+        # Only codes' own beginnings are words.
+        a, b = -(-x["a"] // CODE), -(-x["b"] // CODE)
+        if a < b:
+            found.append({"a": int(firsts[a]), "b": int(ends[b - 2 + WORDS]) + 1 - length})
+    return covered(found, length)
+
+
+def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs without passages of WORDS words, or of `length` bytes, that occur elsewhere too; else as
+    without_repeats."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, words = find_repeats(own, CODE * WORDS, encoded=word_codes)
+    _, strings = find_repeats(own, length, wanted=few_words)
+    both = words.withColumnRenamed("starts", "words").join(strings.select("row_id", F.col("text").alias("same"), F.col("starts").alias("strings")), "row_id", "full")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_kept(text.encode(), passages(text, w or [], s or [], length)) for text, w, s in zip(*(batch.column(c).to_pylist() for c in ("text", "words", "strings")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(kept, pa.binary())], names=["row_id", "kept"])
+
+    return _replaced(docs, both.select("row_id", F.coalesce("text", "same").alias("text"), "words", "strings").mapInArrow(cut, "row_id binary, kept binary"))
+
+
+def _replaced(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with what is kept of the texts found (row_id, kept)."""
     keyed = docs.withColumn("_row", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)))
     joined = keyed.join(found.withColumnRenamed("row_id", "_row"), "_row", "left")
     clean = F.when(F.col("kept").isNotNull(), F.expr("try_validate_utf8(cast(kept as string))")).otherwise(F.col("text"))
