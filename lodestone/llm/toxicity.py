@@ -159,7 +159,8 @@ def _prefixes(words: set[str]) -> set[str]:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Terms of a sample (text, toxic) that toxic documents have far more often: at most LEXICON of them."""
+    """Terms of a sample (text, toxic) that toxic documents have far more often: at most LEXICON of them, and the whole words
+    among the found that their stems cover, as a stem allows no error."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -178,7 +179,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     strong = counted.where((F.col("toxic") >= least) & (odds >= 2.5) & (F.col("toxic") >= 19 * F.col("clean") * max(1, n_toxic) / max(1, n_clean)))
     found = {r["term"]: r["toxic"] for r in strong.orderBy(F.desc("toxic"), "term").limit(20 * LEXICON).collect()}
     terms = []
-    # The longest form that keeps a beginning's documents; then none that another stem covers.
+    # The longest form that keeps a beginning's documents; then no stem that another covers.
     for term, n in found.items():
         letters = term.rstrip("*")
         longer = (x for x in found if len(x.rstrip("*")) - len(letters) in (0, 1) and x.startswith(letters)) if term.endswith("*") else ()
@@ -186,7 +187,8 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
             terms.append(term)
     stems = {t[:-1] for t in terms if t.endswith("*")}
     covered = lambda t: any(t.rstrip("*")[:k] in stems for k in range(3, len(t.rstrip("*")) + (not t.endswith("*"))))
-    return [t for t in terms if not covered(t)][:LEXICON]
+    kept = [t for t in terms if not covered(t)][:LEXICON]
+    return kept + [t for t in terms if not t.endswith("*") and covered(t)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -180,3 +180,10 @@ def test_packing_encoder_against_the_tokenizer():
     texts = ["", "  ", " lead", "a\x1cb c", "x" * 300 + " y", "a\u0085b c  d", "é́ ﬁ ＡＢ", "a​b  \x00c", "İstanbul ǅ ß ẞ ŉ ΑΣ. ʼn", "it's dogs' <|endoftext|> x<|endoftext|>, ''s. a.'s 12. _ __ a_", "ªº µ Å Å"]
     assert encoder(texts) == [encoder._one(t) for t in texts] == encoder(texts)
     assert encoder([]) == []
+
+
+def test_learned_long_words_may_be_misspelt(spark):
+    rows = [(f"quite a disgusting remark {i}", 1) for i in range(40)] + [(f"quite a friendly remark {i}", 0) for i in range(40)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    lexicon = toxicity.Lexicon(terms)
+    assert [lexicon.kind(w) for w in ("disgusting", "disgustingly", "disgustng", "digusting", "dsgusting", "friendly")] == [1, 1, 2, 2, 2, 0]
