@@ -66,6 +66,12 @@ def define(register, F=F, S=S, A=A, W=W) -> None:
         q(_key, f"select o_orderkey, c_custkey, c_name from {_ON.format(_sql)}", lambda s, d, how=_how: _O(s, d).join(_C(s, d), F.col("o_custkey") == F.col("c_custkey"), how).select("o_orderkey", "c_custkey", "c_name"))
     q("join_semi", f"select o_orderkey from {_ON.format('semi')}", lambda s, d: _O(s, d).join(_C(s, d), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey"))
     q("join_anti", f"select o_orderkey from {_ON.format('anti')}", lambda s, d: _O(s, d).join(_C(s, d), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey"))
+    # The same over whole tables: rows without a match come from the price and the segment in the ON clause.
+    _WHOLE = "o_custkey = c_custkey and o_totalprice > 150000 and c_mktsegment <> 'BUILDING'"
+    for _key, _how in (("join_inner_whole", "inner"), ("join_left_outer_whole", "left"), ("join_right_outer_whole", "right"), ("join_full_outer_whole", "full")):
+        q(_key, f"select o_orderkey, c_custkey, c_name from orders {_how} join customer on {_WHOLE}", lambda s, d, how=_how: T(s, d, "orders").join(T(s, d, "customer"), F.expr(_WHOLE), how).select("o_orderkey", "c_custkey", "c_name"))
+    for _key, _how in (("join_semi_whole", "semi"), ("join_anti_whole", "anti")):
+        q(_key, f"select o_orderkey from orders {_how} join customer on {_WHOLE}", lambda s, d, how=_how: T(s, d, "orders").join(T(s, d, "customer"), F.expr(_WHOLE), f"left_{how}").select("o_orderkey"))
     for _key, _not in (("join_right_semi", ""), ("join_right_anti", "not ")):
         q(_key, f"select c_custkey from customer where {_not}exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
           lambda s, d, how="left_anti" if _not else "left_semi": T(s, d, "customer").join(T(s, d, "orders").where("o_totalprice > 300000"), F.col("o_custkey") == F.col("c_custkey"), how).select("c_custkey"))
@@ -85,6 +91,11 @@ def define(register, F=F, S=S, A=A, W=W) -> None:
     for _key, _neg in (("join_null_aware_left_outer_semi", False), ("join_null_aware_left_outer_anti", True)):
         q(_key, f"select n_nationkey, n_nationkey {'not ' if _neg else ''}in (select k from {_NULLABLE.format('<')} t) as matched from nation",
           lambda s, d, neg=_neg: J.null_aware_flag_join(T(s, d, "nation"), _keys(s, d, "<"), "n_nationkey", "k", negate=neg).select("n_nationkey", "matched"))
+    # Keys of all orders: those of cheap ones are left out, or NULL.
+    q("join_null_aware_anti_whole", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)", lambda s, d: J.null_aware_anti_join(T(s, d, "customer"), T(s, d, "orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"))
+    for _key, _neg in (("join_null_aware_left_outer_semi_whole", False), ("join_null_aware_left_outer_anti_whole", True)):
+        q(_key, f"select c_custkey, c_custkey {'not ' if _neg else ''}in (select case when o_totalprice > 300000 then o_custkey end from orders) as matched from customer",
+          lambda s, d, neg=_neg: J.null_aware_flag_join(T(s, d, "customer"), T(s, d, "orders").select(F.expr("case when o_totalprice > 300000 then o_custkey end").alias("k")), "c_custkey", "k", negate=neg).select("c_custkey", "matched"))
     q("join_other_condition", "select o_orderkey from orders join customer on o_custkey = c_custkey and o_totalprice > c_acctbal * 30", lambda s, d: T(s, d, "orders").join(T(s, d, "customer"), F.expr("o_custkey = c_custkey and o_totalprice > c_acctbal * 30")).select("o_orderkey"))
     q("join_side_condition", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and c_acctbal > 0 and o_totalprice > 200000", lambda s, d: T(s, d, "customer").join(T(s, d, "orders"), F.expr("c_custkey = o_custkey and c_acctbal > 0 and o_totalprice > 200000"), "left").select("c_custkey", "o_orderkey"))
     q("join_key_coercion", "select o_orderkey, c_name from orders join customer on cast(o_custkey as decimal(20,2)) = cast(c_custkey as decimal(20,4))",
