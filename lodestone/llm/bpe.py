@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, sliced
 
 BLOCK_BYTES = 96 << 20
 FOLD_BYTES = 64
@@ -148,7 +148,6 @@ def _folded(word: Column, of_byte: Column, rank_map: Column, size: int) -> Colum
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids array<int>."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
     texts = documents(docs)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES) or 1
@@ -159,7 +158,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
         rx = regex.compile(pattern)
         seen: dict[int, set[str]] = {}
         known: dict[int, set[str]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words, met = seen.setdefault(block, set()), known.setdefault(block, set())
                 if text and _MEETING.search(text):

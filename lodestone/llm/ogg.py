@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, documents, small_batches, texts_of
+from .common import arrow_map, documents, texts_of
 
 FRAME = 576
 RATE = 8000
@@ -146,7 +146,6 @@ def features(payload: bytes, seconds: float) -> str:
 
 def media_column(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     """doc_id, n_bytes, media binary (unless not wanted) and what reading it back gives."""
-    small_batches(docs.sparkSession)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, written
+from .common import sliced, texts_of, written
 
 SEQUENCE = 2048
 REGION = 256
@@ -216,14 +216,13 @@ class Schedule:
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """A written table: doc_id, queue, block, at (tokens of the queue before, in this block), n, ids (16-bit, with the end id)."""
     spark = docs.sparkSession
-    small_batches(spark, 4000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), F.spark_partition_id().cast("long").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _state:
             _state[path] = Encoder(path)
         at: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [x + END_ID.to_bytes(2, "little") for x in _state[path](texts_of(batch))]
             places = []
             for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
@@ -250,11 +249,10 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, ["queue", "block"]).select("doc_id", "lane", (F.col("before") + F.col("at")).alias("position"), "n", "ids")
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(totals)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, lane, position, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()

@@ -18,7 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, documents, small_batches, texts_of
+from .common import arrow_map, documents, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE_KINDS = KINDS[:4]
@@ -201,7 +201,6 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def find_in(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each base kind, the digest of base spans and all spans."""
-    small_batches(docs.sparkSession)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [find(t) for t in texts_of(batch)]
@@ -214,7 +213,6 @@ def find_in(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same rows and columns with personal data in the text column replaced by labels; null stays null."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sliced, written
 
 LENGTH = 400
 #: The words of a passage that the pipeline cuts: over 50.
@@ -308,7 +308,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         return added
 
     group: list[tuple] = []
-    for batch in batches:
+    for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][0] != row[0]:
                 size += settle(group)
@@ -326,7 +326,7 @@ def _by_hash(strings: DataFrame, length: int) -> DataFrame:
     """The same for strings whose minimizer's group is too large for one task: every start's string is counted by a hash."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for gram, key, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - length + 1
                 marks = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
@@ -342,11 +342,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
     for the rows that lose bytes. docs: doc_id, text. Spans are places in what `encoded` makes of a text; `wanted` tells
     which of its starts count."""
     spark = docs.sparkSession
-    small_batches(spark)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"), 256)).withColumn("row_id", F.unhex("row_id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in range(5)]
             for text in batch.column("text").to_pylist():
                 raw = text.encode()
@@ -366,7 +365,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
     texts = written(keyed.join(held, "row_id").select("row_id", "doc_id", "text", "places"), "texts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for row_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("row_id", "text", "places")), strict=True):
                 raw = encoded(text)
@@ -416,7 +415,7 @@ def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> D
     rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             removed, n, digests, texts = [], [], [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 runs = covered(starts, length)
@@ -460,7 +459,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     both = words.withColumnRenamed("starts", "words").join(strings.select("row_id", F.col("text").alias("same"), F.col("starts").alias("strings")), "row_id", "full")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept = [_kept(text.encode(), passages(text, w or [], s or [], length)) for text, w, s in zip(*(batch.column(c).to_pylist() for c in ("text", "words", "strings")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(kept, pa.binary())], names=["row_id", "kept"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sliced, written
 
 PARTS = 4
 CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 512
@@ -48,7 +48,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             data = np.concatenate(vectors).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[len(v) for v in vectors]], pa.list_(pa.int32())), pa.array([data], pa.binary())], names=["ids", "dims", "data"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             column = batch.column("v")
             for i, vec_id in enumerate(batch.column("vec_id").to_pylist()):
                 ids.append(vec_id)
@@ -89,7 +89,6 @@ def _partials(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products. rows, queries: vec_id, v array<long>."""
     spark = rows.sparkSession
-    small_batches(spark, 1000)
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     candidates = _blocks(rows, CANDIDATE_BLOCK).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -97,7 +96,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pairs = candidates.join(query_blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))), "g")
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 qi, ci, parts = _partials(row)
                 total = sum(parts)
@@ -118,7 +117,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     known = query_blocks.join(written(by_block, "topk-cutoffs"), "q_key").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 qi, ci, parts = _partials(row)
                 cutoff = np.array([-np.inf if c is None else c for c in row["q_cutoffs"]], dtype=float)

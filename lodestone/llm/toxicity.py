@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, documents, small_batches, texts_of, written
+from .common import arrow_map, documents, sliced, texts_of, written
 
 SAMPLE = 4000
 LEXICON = 2000
@@ -164,7 +164,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
                 seen[toxic].update(_prefixes(set(_WORD.findall(text.lower()))))
         terms = list(seen[0].keys() | seen[1].keys())
@@ -207,7 +207,6 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float]]:
     """Lexicon and weights, from at most sample rows of each class."""
-    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = known.where(~held_out()).withColumn("h", F.xxhash64("doc_id"))
     chosen = usable.where("toxic = 1").orderBy("h", "doc_id").limit(sample).unionByName(usable.where("toxic = 0").orderBy("h", "doc_id").limit(sample)).drop("h")
@@ -240,7 +239,6 @@ def _lexicon(terms: list[str]) -> Lexicon:
 
 def score_column(docs: DataFrame, model: tuple[list[str], list[float]], text: str = "text", name: str = "score") -> DataFrame:
     """The same rows with a column more, between 0 and 1."""
-    small_batches(docs.sparkSession)
     terms, weights = model
     at = docs.columns.index(text)
 

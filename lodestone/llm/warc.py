@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sliced, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -102,7 +102,6 @@ def read_record(data: bytes, frame: int) -> dict:
 def write_bundles(pages: DataFrame, min_bytes: int = 0, level: int = 3) -> DataFrame:
     """A written table of bundles: data, page_ids and frames (which frame has the record of which page)."""
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     groups = keyed.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
@@ -119,7 +118,7 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0, level: int = 3) -> DataF
         def emit() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([bundle(frames)], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(range(len(ids)))], pa.list_(pa.int32()))], names=["data", "page_ids", "frames"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = html.encode()
                 raw = record(page_id, url, payload, digest_of(payload), refers_to)
@@ -137,13 +136,12 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0, level: int = 3) -> DataF
 
 def read_bundles(bundles: DataFrame, keep_payload: bool = False) -> DataFrame:
     """A row for each record, read through the seek table frame by frame."""
-    small_batches(bundles.sparkSession, 4)
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
     out = pa.schema(fields + [("payload", pa.binary())] * keep_payload)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompress = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches, 4):
             for data, ids, frames in zip(*(batch.column(c).to_pylist() for c in ("data", "page_ids", "frames")), strict=True):
                 places, rows = seek_table(data), []
                 for page_id, frame in zip(ids, frames, strict=True):
