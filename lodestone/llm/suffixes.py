@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import forget, free_name, sliced, written
 
 LENGTH = 400
 #: The words of a passage that the pipeline cuts: over 50.
@@ -51,7 +51,7 @@ _BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Scripts without spaces, from Thai to Han: a character of theirs is a word.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[{_SINGLE}]|[^\s{_SINGLE}]+")
-_CACHED = 400_000
+_CACHED = 100_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -467,9 +467,10 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _replaced(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with what is kept of the texts found (row_id, kept)."""
-    keyed = docs.withColumn("_row", F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit(""))), 256)))
-    joined = keyed.join(found.withColumnRenamed("row_id", "_row"), "_row", "left")
-    clean = F.when(F.col("kept").isNotNull(), F.expr("try_validate_utf8(cast(kept as string))")).otherwise(F.col("text"))
-    repaired = F.coalesce(clean, F.when(F.col("kept").isNotNull(), F.expr("make_valid_utf8(cast(kept as string))")))
+    """docs with what is kept of the texts found (row_id, kept), each named once."""
+    row, kept = free_name(docs, "row_id"), free_name(docs, "kept")
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    joined = docs.withColumn(row, key).join(found.select(F.col("row_id").alias(row), F.col("kept").alias(kept)), row, "left")
+    clean = F.when(F.col(kept).isNotNull(), F.try_validate_utf8(F.col(kept).cast("string"))).otherwise(F.col("text"))
+    repaired = F.coalesce(clean, F.when(F.col(kept).isNotNull(), F.make_valid_utf8(F.col(kept).cast("string"))))
     return joined.withColumn("text", repaired).select(*docs.columns)

@@ -9,7 +9,9 @@ logistic model over those figures gives the score.
 It is fitted on at most SAMPLE labelled rows of each class, those with the smallest hashes, none of them held out.
 Defined results: null and empty texts are scored like texts without hits; without labelled rows of both classes the score
 is the share of toxic ones among the labelled, 0 if none. Labels that are null or whose document is missing don't count; a
-doc_id labelled repeatedly is toxic if one label says so. A row with a null doc_id is scored and not held out.
+doc_id labelled repeatedly is toxic if one label says so. A row with a null doc_id is scored and not held out. Texts of any
+length are scored whole. Rows of an empty table have no scores; other columns of docs come through score_column as they are,
+and a name that one of them has already is refused.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, documents, sliced, texts_of, written
+from .common import arrow_map, documents, free_name, sliced, texts_of, written
 
 SAMPLE = 4000
-LEXICON = 2000
+#: Letters of the shortest and the longest stem.
+STEMS = (3, 8)
 WINDOW = 10
 QUOTES = "\"“”„«»‘’‹›"
 _WORD = re.compile(r"\w+")
-_CACHED = 400_000
+#: Words, and states of the automaton, that a worker keeps; beyond, both are made anew.
+_CACHED, _STATES = 100_000, 20_000
 
 
 class Lexicon:
@@ -63,6 +67,9 @@ class Lexicon:
                 self.word[node] = allowed
                 for p in path:
                     self.errors[p] = max(self.errors[p], allowed)
+        self._restart()
+
+    def _restart(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -121,10 +128,13 @@ class Lexicon:
             state = self._step(state, c) if following is None else following
             if state == self.dead:
                 break
-        if len(self.known) > _CACHED:
+        found = self.accept[state]
+        if len(self.sets) > _STATES:
+            self._restart()
+        elif len(self.known) > _CACHED:
             self.known.clear()
-        self.known[word] = self.accept[state]
-        return self.accept[state]
+        self.known[word] = found
+        return found
 
     def features(self, text: str) -> list[float]:
         """Of a text: logarithms of exact, misspelled and quoted hits, the densest window's hits and hits per hundred words."""
@@ -154,13 +164,14 @@ def held_out() -> "F.Column":
 
 
 def _prefixes(words: set[str]) -> set[str]:
-    """Whole words, and their beginnings of 3 letters or more, as stems."""
-    return {w for w in words if len(w) >= 3} | {w[:n] + "*" for w in words for n in range(3, min(len(w), 9))}
+    """Whole words, and their beginnings of STEMS letters, as stems."""
+    low, high = STEMS
+    return {w for w in words if len(w) >= low} | {w[:n] + "*" for w in words for n in range(low, min(len(w), high + 1))}
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Terms of a sample (text, toxic) that toxic documents have far more often: at most LEXICON of them, and the whole words
-    among the found that their stems cover, as a stem allows no error."""
+    """Terms of a sample (text, toxic) that toxic documents have far more often, whole words beside the stems that cover
+    them, as a stem allows no error. All of them come to the driver; the sample's bound bounds them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -177,18 +188,23 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     least = max(4, n_toxic // 100)
     strong = counted.where((F.col("toxic") >= least) & (odds >= 2.5) & (F.col("toxic") >= 19 * F.col("clean") * max(1, n_toxic) / max(1, n_clean)))
-    found = {r["term"]: r["toxic"] for r in strong.orderBy(F.desc("toxic"), "term").limit(20 * LEXICON).collect()}
+    found = {r["term"]: r["toxic"] for r in strong.orderBy(F.desc("toxic"), "term").collect()}
     terms = []
+    # Forms by their letters, and by all but the last of these.
+    forms: dict[str, list[str]] = {}
+    for term in found:
+        letters = term.rstrip("*")
+        forms.setdefault(letters, []).append(term)
+        forms.setdefault(letters[:-1], []).append(term)
     # The longest form that keeps a beginning's documents; then no stem that another covers.
     for term, n in found.items():
         letters = term.rstrip("*")
-        longer = (x for x in found if len(x.rstrip("*")) - len(letters) in (0, 1) and x.startswith(letters)) if term.endswith("*") else ()
+        longer = forms[letters] if term.endswith("*") else ()
         if not any(t != term and found.get(t, 0) >= 0.9 * n for t in longer):
             terms.append(term)
     stems = {t[:-1] for t in terms if t.endswith("*")}
-    covered = lambda t: any(t.rstrip("*")[:k] in stems for k in range(3, len(t.rstrip("*")) + (not t.endswith("*"))))
-    kept = [t for t in terms if not covered(t)][:LEXICON]
-    return kept + [t for t in terms if not t.endswith("*") and covered(t)]
+    covered = lambda t: any(t.rstrip("*")[:k] in stems for k in range(STEMS[0], len(t.rstrip("*")) + (not t.endswith("*"))))
+    return [t for t in terms if not t.endswith("*") or not covered(t)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -240,6 +256,8 @@ def _lexicon(terms: list[str]) -> Lexicon:
 def score_column(docs: DataFrame, model: tuple[list[str], list[float]], text: str = "text", name: str = "score") -> DataFrame:
     """The same rows with a column more, between 0 and 1."""
     terms, weights = model
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs have a column {name} already")
     at = docs.columns.index(text)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
