@@ -2,7 +2,9 @@
 
 A payload of 8-bit unsigned mono samples becomes two multiplexed logical streams: the samples, one packet for each
 frame of 576, and a comment stream with the lengths. Pages carry the container's checksum; the reader verifies it,
-reassembles packets from lacing values, separates the streams by serial number and derives times from granule positions.
+reassembles packets from lacing values, separates the streams by serial number and derives times from granule positions: a
+page's is the end of the last packet that it ends, from which those before count back. Containers are stored as a column
+of a table, which a second step reads.
 
 Defined results: a null or empty text is one frame of the padding byte. Equal texts give equal bytes, whatever the row.
 Texts of any length work; memory is that of one batch and of one text's container.
@@ -89,9 +91,9 @@ def mux(payload: bytes, text_bytes: int) -> bytes:
     return b"".join(mixed)
 
 
-def demux(container: bytes) -> dict[int, list[tuple[bytes, int]]]:
-    """serial: packets with the granule position of the page that ends them. ValueError if a page is damaged or missing."""
-    streams: dict[int, list[tuple[bytes, int]]] = {}
+def demux(container: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
+    """serial: packets, each page's last one with the page's granule position. ValueError if a page is damaged or missing."""
+    streams: dict[int, list[tuple[bytes, int | None]]] = {}
     pending: dict[int, bytearray] = {}
     expected: dict[int, int] = {}
     at, size = 0, len(container)
@@ -114,12 +116,15 @@ def demux(container: bytes) -> dict[int, list[tuple[bytes, int]]]:
             raise ValueError(f"stream {serial:x}: a packet is cut at page {sequence}")
         values = np.frombuffer(lacing, np.uint8).astype(np.int64)
         stops = np.cumsum(values)
-        first = start
+        first, ended = start, False
         for k in np.flatnonzero(values < 255).tolist():
             last = start + int(stops[k])
             piece = container[first:last]
-            packets.append((bytes(rest) + piece if rest is not None else piece, granule))
+            packets.append((bytes(rest) + piece if rest is not None else piece, None))
             rest, first = None, last
+            ended = True
+        if ended:
+            packets[-1] = (packets[-1][0], granule)
         if count and lacing[-1] == 255:
             pending[serial] = (rest if rest is not None else bytearray()) + container[first:end]
         at = end
@@ -128,12 +133,28 @@ def demux(container: bytes) -> dict[int, list[tuple[bytes, int]]]:
     return streams
 
 
-def read_back(container: bytes) -> tuple[bytes, int, float]:
-    """Payload, the text's bytes as noted, seconds by the last granule position."""
+def ends_of(packets: list[tuple[bytes, int | None]], frame: int) -> list[int]:
+    """The granule position at each packet's end: its page's, less a frame for each packet that follows on the page."""
+    ends = [0] * len(packets)
+    at = 0
+    for i in range(len(packets) - 1, -1, -1):
+        granule = packets[i][1]
+        at = granule if granule is not None else at - frame
+        ends[i] = at
+    return ends
+
+
+def read_back(container: bytes) -> tuple[bytes, int, np.ndarray, int]:
+    """Payload, the text's bytes as noted, the granule position at the end of each packet of samples, samples a second.
+    ValueError unless packets follow each other without a gap."""
     streams = demux(container)
     packets, notes = streams[SAMPLES], streams[COMMENTS]
-    rate = struct.unpack_from("<I", packets[0][0], 8)[0]
-    return b"".join(p for p, _ in packets[1:]), int(notes[1][0].split(b"=")[1]), packets[-1][1] / rate
+    rate, _, frame = struct.unpack_from("<IHH", packets[0][0], 8)
+    ends = np.array(ends_of(packets[1:], frame), dtype=np.int64)
+    lengths = np.array([len(p) for p, _ in packets[1:]], dtype=np.int64)
+    if not np.array_equal(ends, np.cumsum(lengths)):
+        raise ValueError("granule positions don't follow the samples")
+    return b"".join(p for p, _ in packets[1:]), int(notes[1][0].split(b"=")[1]), ends, rate
 
 
 def features(payload: bytes, seconds: float) -> str:
@@ -144,19 +165,27 @@ def features(payload: bytes, seconds: float) -> str:
     return f"ms={round(seconds * 1000)};sum={int(x.sum())};range={int(x.max() - x.min())};energy={int((x * x).sum())};crossings={crossings}"
 
 
-def media_column(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """doc_id, n_bytes, media binary (unless not wanted) and what reading it back gives."""
+def store_media(docs: DataFrame) -> DataFrame:
+    """doc_id and media, the text's container."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raws = [t.encode() for t in texts_of(batch)]
+        media = [mux(raw + PAD * (-len(raw) % FRAME if raw else FRAME), len(raw)) for raw in raws]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
+
+    return arrow_map(documents(docs), make, "doc_id long, media binary")
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """What reading the containers of a table (doc_id, media) gives."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            raw = text.encode()
-            stored = mux(raw + PAD * (-len(raw) % FRAME if raw else FRAME), len(raw))
-            payload, n_bytes, seconds = read_back(stored)
-            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload, seconds), *([stored] * keep_media)))
-        return pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
-
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    out = pa.schema(fields + [("media", pa.binary())] * keep_media)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return arrow_map(documents(docs), make, schema)
+        for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+            payload, n_bytes, ends, rate = read_back(media)
+            rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, int(ends[-1]) / rate)))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return arrow_map(stored.select("doc_id", "media"), make, schema)

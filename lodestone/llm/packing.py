@@ -1,6 +1,7 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Every source is a queue of tokens: its documents, each cut freely. Its share of all tokens is its target proportion. A
+Every source is a queue of tokens: its documents, each cut freely. Its target proportion is what the caller asks for, or its share
+of all tokens; when queues run dry, the others' proportions grow alike, so that every token is packed. A
 window of SEQUENCE tokens is filled in rounds over the queues: each queue's deficit grows by its share of a window, whole
 tokens of the deficit are taken, and what is left of it is carried to the next window. Windows come in regions of REGION;
 a region's slice of every queue follows from the totals alone, and its deficits at the start are those carried over from
@@ -8,8 +9,8 @@ the region before. So any task can replay the schedule of the regions its docume
 placed where they are: no queue is gathered anywhere and no tokens are shuffled. What a region has beyond full windows goes to sequences
 whose lengths are powers of two, which take no padding.
 
-Defined results: a null or empty text is its end token alone; a null source is the source ''. More than MAX_QUEUES sources
-are hashed to that many queues. Rows with equal doc_id are documents of their own. Documents of any length are cut, never dropped.
+Defined results: a null or empty text is its end token alone; a null source is the source ''. Of more than MAX_QUEUES sources
+the largest, and those with a target, have queues of their own, the others share SHARED queues by a hash. Rows with equal doc_id are documents of their own. Documents of any length are cut, never dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .common import sliced, texts_of, written
 SEQUENCE = 2048
 REGION = 256
 SPARE = 12
-MAX_QUEUES = 1024
+#: Queues that any task can hold the schedule of.
+MAX_QUEUES, SHARED = 1024, 64
 END_ID = 1
 #: Offsets of blocks in queues are broadcast up to so many rows, about 50 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -134,26 +136,48 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class Schedule:
-    """The windows of a corpus whose queues hold totals tokens."""
+    """The windows of a corpus whose queues hold totals tokens. targets: weights of the queues, their totals if None; a
+    queue of weight 0 follows when the others are dry."""
 
-    def __init__(self, totals: list[int]):
+    def __init__(self, totals: list[int], targets: list[float] | None = None):
         self.totals = totals
         self.tokens = sum(totals)
         self.windows = -(-self.tokens // SEQUENCE)
         self.regions = -(-self.windows // REGION)
         self._kept: OrderedDict = OrderedDict()
+        # Spans between which the same queues have tokens: (tokens before, tokens of each queue before, shares).
+        self.spans: list[tuple[float, list[float], list[float]]] = []
+        weights = [float(t) for t in (targets or totals)]
+        at, taken = 0.0, [0.0] * len(totals)
+        while True:
+            alive = [q for q, t in enumerate(totals) if t > taken[q]]
+            if not alive:
+                break
+            if not sum(weights[q] for q in alive):
+                weights = [float(t) for t in totals]
+            whole = sum(weights[q] for q in alive)
+            share = [weights[q] / whole if t > taken[q] else 0.0 for q, t in enumerate(totals)]
+            self.spans.append((at, list(taken), share))
+            # Until the first of them is dry; those within a token of it are dry too.
+            length = min((totals[q] - taken[q]) / share[q] for q in alive if share[q])
+            at += length
+            taken = [float(t) if t - x - length * s < 0.5 else x + length * s for t, x, s in zip(totals, taken, share, strict=True)]
+        self._starts = [x[0] for x in self.spans]
+
+    def span(self, region: int) -> tuple[float, list[float], list[float]]:
+        return self.spans[bisect_right(self._starts, region * REGION * SEQUENCE) - 1]
+
+    def ideal(self, queue: int, region: int) -> float:
+        """Tokens of the queue before the region, fractions included."""
+        at, taken, share = self.span(region)
+        return min(float(self.totals[queue]), taken[queue] + (region * REGION * SEQUENCE - at) * share[queue])
 
     def bound(self, queue: int, region: int) -> int:
         """Tokens of the queue before the region."""
-        return self.totals[queue] if region >= self.regions else self.totals[queue] * min(region * REGION, self.windows) // self.windows
+        return self.totals[queue] if region >= self.regions else int(self.ideal(queue, region))
 
     def region_of(self, queue: int, position: int) -> int:
-        region = min(position * self.windows // max(1, self.totals[queue]) // REGION, self.regions - 1)
-        while position < self.bound(queue, region):
-            region -= 1
-        while position >= self.bound(queue, region + 1):
-            region += 1
-        return region
+        return bisect_right(range(1, self.regions), position, key=lambda r: self.bound(queue, r))
 
     def region(self, number: int) -> list[list[tuple[int, int, int, int]]]:
         """For each queue its cuts in the region: (position, length, sequence, offset)."""
@@ -163,9 +187,8 @@ class Schedule:
         queues = range(len(self.totals))
         at = [self.bound(q, number) for q in queues]
         stop = [self.bound(q, number + 1) for q in queues]
-        share = [t / self.tokens for t in self.totals]
-        first = min(number * REGION, self.windows)
-        deficit = [self.totals[q] * (first * SEQUENCE) / self.tokens - at[q] for q in queues]
+        share = self.span(number)[2]
+        deficit = [self.ideal(q, number) - at[q] for q in queues]
         left = sum(stop) - sum(at)
         lengths = [SEQUENCE] * (left // SEQUENCE) + [1 << b for b in range(SEQUENCE.bit_length() - 1, -1, -1) if (left % SEQUENCE) >> b & 1]
         cuts: list[list[tuple[int, int, int, int]]] = [[] for _ in queues]
@@ -233,25 +256,27 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, queue string, block long, at long, n long, ids binary"), "tokens")
 
 
-def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids: a row for each piece."""
+def pack(docs: DataFrame, path: str, keep_ids: bool = False, targets: dict[str, float] | None = None) -> DataFrame:
+    """targets: weights of sources in each window; sources that aren't named have none and come last. doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids: a row for each piece."""
     tokens = tokenized(docs, path)
     sizes = written(tokens.groupBy("queue", "block").agg(F.sum("n").alias("size")), "queue-sizes")
-    if sizes.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        lane = F.concat(F.lit("lane"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)))
-    else:
-        lane = F.col("queue")
+    largest = sizes.groupBy("queue").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "queue").limit(MAX_QUEUES + 1).collect()
+    lane = F.concat(F.lit("own "), "queue")
+    if len(largest) > MAX_QUEUES:
+        own = sorted({r["queue"] for r in largest[: MAX_QUEUES - SHARED]} | set(targets or ()))
+        lane = F.when(F.col("queue").isin(own), lane).otherwise(F.concat(F.lit("shared "), F.pmod(F.xxhash64("queue"), F.lit(SHARED)).cast("string")))
     before = F.sum("size").over(W.partitionBy("lane").orderBy("block", "queue").rowsBetween(W.unboundedPreceding, -1))
     offsets = written(sizes.withColumn("lane", lane).withColumn("before", F.coalesce(before, F.lit(0))).select("lane", "queue", "block", "before"), "queue-offsets")
-    # At most MAX_QUEUES rows.
+    # At most MAX_QUEUES rows, and as many as there are targets.
     lanes = sorted((r["lane"], r["size"]) for r in sizes.groupBy(lane.alias("lane")).agg(F.sum("size").alias("size")).collect())
     names, totals = {name: i for i, (name, _) in enumerate(lanes)}, [size for _, size in lanes]
+    weights = [(targets.get(name[4:], 0.0) if name.startswith("own ") else 0.0) for name, _ in lanes] if targets else None
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     placed = tokens.join(offsets, ["queue", "block"]).select("doc_id", "lane", (F.col("before") + F.col("at")).alias("position"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(totals)
+        schedule = Schedule(totals, weights)
         for batch in sliced(batches):
             rows = []
             for doc_id, lane, position, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, minhash, ogg, packing, pii, suffixes, topk, toxicity, warc
-from .common import table
+from .common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,7 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.media_column(table(spark, sf_dir, "documents"), keep_media=False)
+    return ogg.read_media(written(ogg.store_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.removal(table(spark, sf_dir, "documents"), 400)
+    """At 400 bytes; beside it, how much lies in repeated passages of over 50 words, which may be shorter."""
+    return suffixes.removal_and_passages(table(spark, sf_dir, "documents"), 400)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

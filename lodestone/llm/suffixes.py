@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -271,16 +272,20 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     size = 0
 
     def solve() -> pa.RecordBatch:
+        # A clip without another one of its minimizer repeats as often as it occurs; it holds a string once at most.
+        several = Counter(gram for gram, _, _ in clips)
+        sorted_ones = [k for k, (gram, _, _) in enumerate(clips) if several[gram] > 1]
+        names = list(clips)
         # Clips by their bytes alone: another minimizer's clips can't hold the same strings.
-        marks = repeats([c for _, _, c in clips], length) if len(clips) > 1 else [np.zeros(len(c), dtype=bool) for _, _, c in clips]
+        marks = {k: m for k, m in zip(sorted_ones, repeats([names[k][2] for k in sorted_ones], length) if sorted_ones else (), strict=True)}
         out: tuple[list, ...] = ([], [], [], [])
         for gram, key, copies, n, low, clip in rows:
             if copies > 1:
                 mark = np.ones(n - length + 1, dtype=bool)
             else:
                 mark = np.zeros(n - length + 1, dtype=bool)
-                own = marks[clip][: len(marks[clip]) - length + 1]
-                mark[low : low + len(own)] = own | (times[clip] > 1)
+                size = len(names[clip][2]) - length + 1
+                mark[low : low + size] = times[clip] > 1 or (marks[clip][:size] if clip in marks else False)
             for a, b in zip(*_runs(mark), strict=True):
                 for column, value in zip(out, (gram, key, int(a), int(b)), strict=True):
                     column.append(value)
@@ -387,8 +392,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
     if large.limit(1).count():
         found = found.unionByName(_by_hash(strings.join(large, "gram").select("gram", "key", "copies", "data"), length))
     members = pieces.select("gram", "key", "row_id", "first").distinct()
-    spans = members.join(written(found, "repeats"), ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
-    return rows.select("row_id", "doc_id", "n_bytes", "sha256"), written(texts.select("row_id", "text").distinct().join(spans, "row_id"), "spans")
+    repeated = written(found, "repeats")
+    spans = members.join(repeated, ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
+    spans = written(texts.select("row_id", "text").distinct().join(spans, "row_id"), "spans")
+    forget(common, held, texts, pieces, strings, large, repeated)
+    return rows.select("row_id", "doc_id", "n_bytes", "sha256"), spans
 
 
 def covered(starts: list[dict], length: int) -> list[tuple[int, int]]:
@@ -410,6 +418,13 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + raw[at:]
 
 
+def removal_and_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """removal()'s columns, and n_passages and passage_bytes of passage_counts(), which removes nothing."""
+    counts, zero = passage_counts(docs), F.lit(0).cast("long")
+    joined = removal(docs, length, keep_text=True).drop("kept").join(counts, "row_id", "left").drop("row_id")
+    return joined.withColumn("n_passages", F.coalesce("n_passages", zero)).withColumn("passage_bytes", F.coalesce("passage_bytes", zero))
+
+
 def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, row_id and kept (binary, null: nothing removed)."""
     rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
@@ -450,6 +465,20 @@ def passages(text: str, words: list[dict], strings: list[dict], length: int) ->
     return covered(found, length)
 
 
+def passage_counts(docs: DataFrame) -> DataFrame:
+    """row_id, n_passages, passage_bytes: maximal runs of passages of WORDS words that occur elsewhere too, for the rows that
+    have any; one row for copies."""
+    _, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            runs = [passages(text, starts, [], 0) for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True)]
+            counts = [pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *counts], names=["row_id", "n_passages", "passage_bytes"])
+
+    return spans.select("row_id", "text", "starts").mapInArrow(count, "row_id binary, n_passages long, passage_bytes long")
+
+
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs without passages of WORDS words, or of `length` bytes, that occur elsewhere too; else as
     without_repeats."""

@@ -1,17 +1,20 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 A score is an inner product of integer vectors, the sum of PARTS partial scores over slices of the components.
-Phase 1: every block of candidates lists, for each query and slice, its k best partial scores; their full scores go into
-a local score list, and the k-th best of all lists is a safe cutoff t: at least k candidates reach it. Phase 2: whatever
-scores t or more has a partial score of t / PARTS or more in some slice, so just the entries above that uniform threshold
-are collected. Phase 3: their remaining partial scores are resolved, and those that reach t are ranked.
+Phase 1: every block of candidates takes, for each query, its k best entries by the first slice alone and scores just these; the k-th
+best of all these local lists is a safe cutoff t: at least k candidates reach it. Phase 2: whatever scores t or more has a
+partial score of t / PARTS or more in some slice, so just the entries above that uniform threshold are collected. Slices
+whose norms can't reach it aren't multiplied at all. Phase 3: the collected entries' remaining partial scores
+are resolved, and those that reach t are ranked.
 
-Queries and candidates meet in blocks: query blocks are dealt to groups of candidate blocks by an equality join, a block
-pair is one row. Each block gives at most k entries for a query, the best by score and then by id, so that ties (copies of a vector) can't flood a task.
+Queries and candidates meet in blocks, the stated queries against all rows: a block pair is one row. Each block gives at most k
+entries for a query, the best by score and then by id, so that ties (copies of a vector) can't flood a task.
 
 Defined results: null vectors and vectors with null or non-finite components take no part. Vectors of unequal length are
 compared over the shorter one. Rows with a null vec_id take no part. A query is its vec_id: of several rows with it, the vector smallest by
-components. Candidates are rows, so repeated rows count each; a query's own vec_id is never its candidate.
+components. Candidates are rows, so repeated rows count each; a query's own vec_id is never its candidate. Scores are exact: products
+that float64 might round go through integers of any size. A component or a score beyond 64 bits is refused with an error. An empty
+table gives an empty result; other columns are left behind.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ def integer_vectors(rows: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id, v array<long>: floor(scale * x) of the vectors that take part."""
     x = F.transform("embedding", lambda e: e.cast("double"))
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e)).alias("v"))
+    too_large = F.raise_error(F.lit("a component doesn't fit into 64 bits")).cast("long")
+    whole = lambda e: F.when(F.abs(F.lit(scale) * e) < 2.0**63, F.floor(F.lit(scale) * e)).otherwise(too_large)
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -63,27 +68,69 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _matrix(dims: list[int], data: bytes, width: int) -> np.ndarray:
-    flat, lengths = np.frombuffer(data, "<i8").astype(np.float64), np.asarray(dims)
+    flat, lengths = np.frombuffer(data, "<i8"), np.asarray(dims)
     if len(lengths) and (lengths == width).all():
         return flat.reshape(-1, width)
-    out, at = np.zeros((len(dims), width)), 0
+    out, at = np.zeros((len(dims), width), dtype=np.int64), 0
     for r, d in enumerate(dims):
         out[r, : min(d, width)] = flat[at : at + min(d, width)]
         at += d
     return out
 
 
-def _partials(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Query ids, candidate ids and, for each slice, partial scores (-inf: the query itself)."""
-    width = max([1, *row["q_dims"], *row["dims"]])
-    q, c = _matrix(row["q_dims"], row["q_data"], width), _matrix(row["dims"], row["data"], width)
-    qi, ci = np.asarray(row["q_ids"], dtype=np.int64), np.asarray(row["ids"], dtype=np.int64)
-    own = qi[:, None] == ci[None, :]
-    cuts = [width * p // PARTS for p in range(PARTS + 1)]
-    parts = [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)]
-    for p in parts:
-        p[own] = -np.inf
-    return qi, ci, parts
+class _Pair:
+    """A block of queries and one of candidates, as float64 where all sums are exact in it, else as integers of any size."""
+
+    def __init__(self, row: dict):
+        width = max([1, *row["q_dims"], *row["dims"]])
+        q, c = _matrix(row["q_dims"], row["q_data"], width), _matrix(row["dims"], row["data"], width)
+        largest = [max((abs(int(x.max())), abs(int(x.min())))) if x.size else 0 for x in (q, c)]
+        kind = np.float64 if largest[0] * largest[1] * width < 1 << 53 else object
+        self.q, self.c = q.astype(kind), c.astype(kind)
+        self.qi, self.ci = np.asarray(row["q_ids"], dtype=np.int64), np.asarray(row["ids"], dtype=np.int64)
+        self.cuts = [width * p // PARTS for p in range(PARTS + 1)]
+        self.exact = kind is object
+
+    def part(self, p: int, queries: np.ndarray | slice = slice(None)) -> np.ndarray:
+        a, b = self.cuts[p], self.cuts[p + 1]
+        return self.q[queries, a:b] @ self.c[:, a:b].T
+
+    def norms(self, x: np.ndarray, p: int) -> np.ndarray:
+        part = x[:, self.cuts[p] : self.cuts[p + 1]]
+        return np.sqrt((part * part).sum(axis=1).astype(float))
+
+    def others(self, r: int) -> np.ndarray:
+        """Candidates but the query's own."""
+        return self.ci != self.qi[r]
+
+    def scores(self, r: int, at: np.ndarray) -> np.ndarray:
+        found = self.c[at] @ self.q[r] if len(at) else np.zeros(0)
+        if self.exact and any(not -(1 << 63) <= int(s) < 1 << 63 for s in found):
+            raise OverflowError("a score doesn't fit into 64 bits")
+        return found.astype(np.int64)
+
+    def best_of_first(self, k: int) -> list[list[int]]:
+        """For each query the scores, best first, of its k best candidates by the first slice."""
+        first, out = self.part(0), []
+        for r in range(len(self.qi)):
+            at = np.flatnonzero(self.others(r))
+            if len(at) > k:
+                at = at[np.argpartition(-first[r, at], k - 1)[:k]] if not self.exact else at[np.argsort(-first[r, at], kind="stable")[:k]]
+            out.append(np.sort(self.scores(r, at))[::-1].tolist())
+        return out
+
+    def sufficient(self, cutoffs: list[int | None]) -> list[np.ndarray]:
+        """For each query the candidates that have cutoff / PARTS in some slice; all, where there is no cutoff."""
+        cutoff = np.array([-np.inf if c is None else c for c in cutoffs], dtype=float)
+        # A hair lower: rounding may collect an entry more, never one less.
+        least = cutoff / PARTS - 1e-9 * np.abs(cutoff)
+        enough = np.zeros((len(self.qi), len(self.ci)), dtype=bool)
+        enough[~np.isfinite(cutoff)] = True
+        for p in range(PARTS):
+            able = np.flatnonzero((self.norms(self.q, p) * self.norms(self.c, p).max(initial=0.0) * (1 + 1e-9) >= least) & np.isfinite(cutoff))
+            if len(able):
+                enough[able] |= (self.part(p, able) >= least[able][:, None]).astype(bool)
+        return [np.flatnonzero(e & self.others(r)) for r, e in enumerate(enough)]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -96,17 +143,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pairs = candidates.join(query_blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))), "g")
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
-                qi, ci, parts = _partials(row)
-                total = sum(parts)
-                n = min(k, len(ci))
-                seen = np.concatenate([np.argpartition(-p, n - 1, axis=1)[:, :n] for p in parts], axis=1)
-                lists = []
-                for r in range(len(qi)):
-                    s = total[r, np.unique(seen[r])]
-                    lists.append(np.sort(s[np.isfinite(s)])[::-1][:k].astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(lists, pa.list_(pa.int64()))], names=["query_id", "scores"])
+                pair = _Pair(row)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.qi), pa.array(pair.best_of_first(k), pa.list_(pa.int64()))], names=["query_id", "scores"])
 
     lists = pairs.mapInArrow(local_lists, "query_id long, scores array<long>")
     ranked = lists.select("query_id", F.explode("scores").alias("s")).groupBy("query_id", "s").agg(F.count(F.lit(1)).alias("n"))
@@ -117,25 +157,19 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     known = query_blocks.join(written(by_block, "topk-cutoffs"), "q_key").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 1):
             for row in batch.to_pylist():
-                qi, ci, parts = _partials(row)
-                cutoff = np.array([-np.inf if c is None else c for c in row["q_cutoffs"]], dtype=float)
-                enough = np.zeros(parts[0].shape, dtype=bool)
-                for p in parts:
-                    enough |= p >= (cutoff / PARTS)[:, None]
+                pair = _Pair(row)
                 found_q, found_c, found_s = [], [], []
-                for r in np.flatnonzero(enough.any(axis=1)).tolist():
-                    at = np.flatnonzero(enough[r])
-                    s = sum(p[r, at] for p in parts)
-                    fit = (s >= cutoff[r]) & np.isfinite(s)
-                    at, s = at[fit], s[fit]
-                    best = np.lexsort((ci[at], -s))[:k]
-                    found_q.append(np.full(len(best), qi[r]))
-                    found_c.append(ci[at[best]])
-                    found_s.append(s[best].astype(np.int64))
-                if found_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found_q, found_c, found_s)], names=["query_id", "vec_id", "score"])
+                for r, at in enumerate(pair.sufficient(row["q_cutoffs"])):
+                    scores, cutoff = pair.scores(r, at), row["q_cutoffs"][r]
+                    if cutoff is not None:
+                        at, scores = at[scores >= cutoff], scores[scores >= cutoff]
+                    best = np.lexsort((pair.ci[at], ~scores))[:k]
+                    found_q.append(np.full(len(best), pair.qi[r]))
+                    found_c.append(pair.ci[at[best]])
+                    found_s.append(scores[best])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (found_q, found_c, found_s)], names=["query_id", "vec_id", "score"])
 
     entries = candidates.join(known, "g").mapInArrow(resolve, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

@@ -1,12 +1,13 @@
 """WARC records in seekable Zstandard bundles.
 
-Each record is a Zstandard frame of its own; a bundle ends in the seek table of the seekable format, and a map from
-record id to frame number travels with it. A record can so be read without decompressing its neighbours. Bundles are
-rows of a written table, so that any executor can make or read them.
+Records are grouped into independent Zstandard frames of about FRAME_BYTES; a longer record is a frame of its own. A bundle ends in
+the seek table of the seekable format, and a map from record id to frame, offset in the frame and length travels with it: a
+record is read by decompressing one frame. Bundles are rows of a written table, so that any executor can make or read them.
 
 Defined results: a null html is an empty payload. Records with equal payloads of at least min_bytes bytes: the one
 with the smallest page_id is the response, the others revisit it; rows that share a page_id with the response are
-responses too. Rows with a null page_id are responses if nothing else has their payload, else revisits.
+responses too. Rows with a null page_id revisit the response that has their payload; if only such rows have it, they are
+responses all. Payloads of any length are kept whole; an empty table gives no bundles. Other columns are left behind.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import sliced, written
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 BUNDLE_BYTES = 4 << 20
+FRAME_BYTES = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -92,15 +94,19 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_record(data: bytes, frame: int) -> dict:
-    """One record, by its frame number alone."""
-    at, c, n = seek_table(data)[frame]
-    raw = zstandard.ZstdDecompressor().decompress(data[at : at + c], max_output_size=max(n, 1))
-    return parse(raw)
+def frame_of(data: bytes, place: tuple[int, int, int]) -> bytes:
+    """The records of the frame at a place of the seek table."""
+    at, c, n = place
+    return zstandard.ZstdDecompressor().decompress(data[at : at + c], max_output_size=max(n, 1))
+
+
+def read_record(data: bytes, frame: int, offset: int, length: int) -> dict:
+    """One record, from its frame alone."""
+    return parse(frame_of(data, seek_table(data)[frame])[offset : offset + length])
 
 
 def write_bundles(pages: DataFrame, min_bytes: int = 0, level: int = 3) -> DataFrame:
-    """A written table of bundles: data, page_ids and frames (which frame has the record of which page)."""
+    """A written table of bundles: data, and for the record of each of page_ids its frame, offset there and length."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
@@ -112,26 +118,35 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0, level: int = 3) -> DataF
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=level).compress
         frames: list[tuple[bytes, int]] = []
-        ids: list[int | None] = []
-        size = 0
+        open_frame = bytearray()
+        places: list[tuple[int | None, int, int, int]] = []
+
+        def close() -> None:
+            frames.append((compress(bytes(open_frame)), len(open_frame)))
+            open_frame.clear()
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([bundle(frames)], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(range(len(ids)))], pa.list_(pa.int32()))], names=["data", "page_ids", "frames"])
+            maps = [pa.array([[p[k] for p in places]], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([bundle(frames)], pa.binary()), *maps], names=["data", "page_ids", "frames", "offsets", "lengths"])
 
+        size = 0
         for batch in sliced(batches):
             for page_id, url, html, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 payload = html.encode()
                 raw = record(page_id, url, payload, digest_of(payload), refers_to)
-                frames.append((compress(raw), len(raw)))
-                ids.append(page_id)
-                size += len(frames[-1][0])
-                if size >= BUNDLE_BYTES:
-                    yield emit()
-                    frames, ids, size = [], [], 0
-        if frames:
+                if open_frame and len(open_frame) + len(raw) > FRAME_BYTES:
+                    close()
+                    size += len(frames[-1][0])
+                    if size >= BUNDLE_BYTES:
+                        yield emit()
+                        frames, places, size = [], [], 0
+                places.append((page_id, len(frames), len(open_frame), len(raw)))
+                open_frame += raw
+        if open_frame:
+            close()
             yield emit()
 
-    return written(typed.mapInArrow(pack, "data binary, page_ids array<long>, frames array<int>"), "warc-bundles")
+    return written(typed.mapInArrow(pack, "data binary, page_ids array<long>, frames array<int>, offsets array<long>, lengths array<long>"), "warc-bundles")
 
 
 def read_bundles(bundles: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -140,13 +155,13 @@ def read_bundles(bundles: DataFrame, keep_payload: bool = False) -> DataFrame:
     out = pa.schema(fields + [("payload", pa.binary())] * keep_payload)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decompress = zstandard.ZstdDecompressor().decompress
         for batch in sliced(batches, 4):
-            for data, ids, frames in zip(*(batch.column(c).to_pylist() for c in ("data", "page_ids", "frames")), strict=True):
-                places, rows = seek_table(data), []
-                for page_id, frame in zip(ids, frames, strict=True):
-                    at, c, n = places[frame]
-                    found = parse(decompress(data[at : at + c], max_output_size=max(n, 1)))
+            for data, *maps in zip(*(batch.column(c).to_pylist() for c in ("data", "page_ids", "frames", "offsets", "lengths")), strict=True):
+                places, rows, now, held = seek_table(data), [], -1, b""
+                for page_id, frame, offset, length in zip(*maps, strict=True):
+                    if frame != now:
+                        now, held = frame, frame_of(data, places[frame])
+                    found = parse(held[offset : offset + length])
                     if found["page_id"] != page_id:
                         raise ValueError("the map names another record")
                     rows.append(found)

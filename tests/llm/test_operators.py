@@ -99,8 +99,18 @@ def test_ogg_round_trip_and_damage(spark):
             ogg.demux(stored[:-1] + bytes([stored[-1] ^ 1]))
     long = [(bytes([i]) * n, i) for i, n in enumerate((0, 255, 254, 510, 200_000))]
     assert [p for p, _ in ogg.demux(b"".join(ogg.pages_of(long, 5)))[5]] == [p for p, _ in long]
-    rows = ogg.media_column(frame(spark)).collect()
-    assert len(rows) == len(HARD) and rows[7].media_sha256 == rows[8].media_sha256
+    head, *rest = ogg.demux(ogg.mux(b"a" * 576 * 1000, 5))[ogg.SAMPLES]
+    assert ogg.ends_of(rest, 576) == [576 * (i + 1) for i in range(1000)] and 0 < sum(g is not None for _, g in rest) < 1000
+    rows = {r.doc_id: r for r in ogg.read_media(ogg.store_media(frame(spark))).collect()}
+    assert len(rows) == len(HARD)
+    for i, t in enumerate(HARD):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        x = [b - 128 for b in payload]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        feature = f"ms={round(len(payload) / 8)};sum={sum(x)};range={max(x) - min(x)};energy={sum(v * v for v in x)};crossings={crossings}"
+        expected = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(ogg.mux(payload, len(raw))).hexdigest(), feature)
+        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256, rows[i].tail_crc32, rows[i].media_sha256, rows[i].feature) == expected
 
 
 def test_packing_covers_every_token_once(spark):
@@ -133,7 +143,12 @@ def test_warc_round_trip(spark):
     assert {i: (r.record_type, r.refers_to) for i, r in got.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 5: ("revisit", 2), 9: ("response", None)}
     assert bytes(got[9].payload).decode() == "é" * 9000 and got[3].payload_bytes == 4 and got[3].payload_digest == got[1].payload_digest
     one = bundles.first()
-    assert warc.read_record(bytes(one.data), len(one.frames) - 1)["page_id"] == one.page_ids[-1]
+    places = list(zip(one.page_ids, one.frames, one.offsets, one.lengths, strict=True))
+    assert len({f for _, f, _, _ in places}) == 1 and [warc.read_record(bytes(one.data), *p[1:])["page_id"] for p in places] == [p[0] for p in places]
+    many = spark.createDataFrame([(i, "u", f"{i} " * 4000) for i in range(40)] + [(40, "u", "x" * 300_000)], "page_id long, url string, html string").coalesce(1)
+    one = warc.write_bundles(many).first()
+    assert len(set(one.frames)) == 9 and max(one.offsets) > 0 and len(warc.seek_table(bytes(one.data))) == len(set(one.frames))
+    assert warc.read_record(bytes(one.data), one.frames[-1], one.offsets[-1], one.lengths[-1])["payload"] == b"x" * 300_000
     assert {r.record_type for r in warc.read_bundles(warc.write_bundles(df, min_bytes=99)).collect()} == {"response"}
 
 
