@@ -36,7 +36,7 @@ WINDOW = 10
 QUOTES = "\"“”„«»‘’‹›"
 _WORD = re.compile(r"\w+")
 #: Words, and states of the automaton, that a worker keeps; beyond, both are made anew.
-_CACHED, _STATES = 100_000, 20_000
+_CACHED, _STATES = 200_000, 40_000
 
 
 class Lexicon:
@@ -67,6 +67,7 @@ class Lexicon:
                 self.word[node] = allowed
                 for p in path:
                     self.errors[p] = max(self.errors[p], allowed)
+        self.known: dict[str, int] = {}
         self._restart()
 
     def _restart(self) -> None:
@@ -76,7 +77,6 @@ class Lexicon:
         self.accept: list[int] = []
         self.dead = self._state(frozenset())
         self.start = self._state(self._closed({(0, 0)}))
-        self.known: dict[str, int] = {}
 
     def _closed(self, states: set) -> frozenset:
         """With term letters left out, one error each; a node's greater errors are dropped beside smaller ones."""
@@ -131,7 +131,7 @@ class Lexicon:
         found = self.accept[state]
         if len(self.sets) > _STATES:
             self._restart()
-        elif len(self.known) > _CACHED:
+        if len(self.known) > _CACHED:
             self.known.clear()
         self.known[word] = found
         return found
@@ -170,8 +170,8 @@ def _prefixes(words: set[str]) -> set[str]:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Terms of a sample (text, toxic) that toxic documents have far more often, whole words beside the stems that cover
-    them, as a stem allows no error. All of them come to the driver; the sample's bound bounds them."""
+    """Terms of a sample (text, toxic) that toxic documents have far more often, and beside a stem, which allows no error, the
+    words that at least half of its documents have. All of them come to the driver; the sample's bound bounds them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -203,8 +203,10 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
         if not any(t != term and found.get(t, 0) >= 0.9 * n for t in longer):
             terms.append(term)
     stems = {t[:-1] for t in terms if t.endswith("*")}
+    # Of the words that a stem covers, those that are the bulk of its documents: these are what others misspell.
+    bulk = lambda t: any(2 * found[t] >= found[t[:k] + "*"] for k in range(STEMS[0], len(t) + 1) if t[:k] in stems)
     covered = lambda t: any(t.rstrip("*")[:k] in stems for k in range(STEMS[0], len(t.rstrip("*")) + (not t.endswith("*"))))
-    return [t for t in terms if not t.endswith("*") or not covered(t)]
+    return [t for t in terms if not covered(t) or (not t.endswith("*") and bulk(t))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
