@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import operator
 
 from pyspark.sql import Column
@@ -126,8 +127,10 @@ def two_value_and(a: Column, b: Column) -> Column:
 
 # --- casts
 def text_to_int(s: Column) -> Column:
-    """The integer that a text begins with, 0 if none."""
-    return F.coalesce(F.expr("bigint(null)"), F.nullif(F.regexp_extract(F.trim(s), r"^[+-]?\d+", 0), F.lit("")).try_cast("long"), F.when(s.isNotNull(), F.lit(0).cast("long")))
+    """The integer that a text begins with, 0 if none, the nearest of 64 bits if it is beyond them."""
+    digits = F.regexp_extract(F.trim(s), r"^[+-]?\d+", 0)
+    beyond = F.when(digits.startswith("-"), F.lit(-(2**63)).cast("long")).otherwise(F.lit(2**63 - 1).cast("long"))
+    return F.when(digits == "", F.lit(0).cast("long")).when(digits.isNotNull(), F.coalesce(digits.try_cast("long"), beyond))
 
 
 def or_zero(s: Column, kind: str) -> Column:
@@ -204,8 +207,37 @@ def pattern(mysql: str) -> str:
     return out + (f"'{text}'" if text else "")
 
 
+def _week_of(t: Column) -> dict[str, Column]:
+    """MySQL's letters for weeks and days that Spark's patterns lack."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    sunday = lambda d: F.floor((F.dayofyear(d) + 6 - (F.dayofweek(d) - 1)) / 7)
+    before = F.make_date(F.year(t) - 1, F.lit(12), F.lit(31))
+    iso_year = F.extract(F.lit("YEAROFWEEK"), t)
+    day = F.dayofmonth(t)
+    suffix = F.when(day.between(11, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+    return {
+        "%D": F.concat(day.cast("string"), suffix),
+        "%w": (F.dayofweek(t) - 1).cast("string"),
+        "%U": two(sunday(t)),
+        "%u": two(F.when(iso_year < F.year(t), 0).when(iso_year > F.year(t), 53).otherwise(F.weekofyear(t))),
+        "%V": two(F.when(sunday(t) > 0, sunday(t)).otherwise(sunday(before))),
+        "%v": two(F.weekofyear(t)),
+        "%X": F.when(sunday(t) > 0, F.year(t)).otherwise(F.year(t) - 1).cast("string"),
+        "%x": iso_year.cast("string"),
+    }
+
+
 def date_format(t: Column, mysql: str) -> Column:
-    return F.date_format(t, pattern(mysql))
+    own, parts, text = _week_of(t), [], ""
+    for token in re.findall("%.|[^%]+|%", mysql, re.DOTALL):
+        if token in own:
+            parts += [F.date_format(t, pattern(text))] * bool(text) + [own[token]]
+            text = ""
+        else:
+            text += token
+    if text or not parts:
+        parts.append(F.date_format(t, pattern(text)))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def str_to_date(s: Column, mysql: str) -> Column:
@@ -226,9 +258,11 @@ def get_format(kind: str, place: Column) -> Column:
 
 # --- network, URL, geo
 def inet_aton(s: Column) -> Column:
-    p = F.split(s, r"\.")
-    octet = lambda i: F.get(p, i).cast("long")
-    return F.when(s.rlike(r"^(\d{1,3})(\.\d{1,3}){3}$"), octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3))
+    """Of up to four parts; the last is the lowest byte, those left out are 0. An empty part is 0, but not the last one."""
+    parts = F.transform(F.split(s, r"\."), lambda p: F.when(p == "", F.lit(0)).otherwise(p.try_cast("decimal(38,0)")).cast("long"))
+    fit = s.rlike(r"^(\d*\.){0,3}\d+$") & F.forall(parts, lambda p: p.isNotNull() & (p <= 255))
+    weights = F.when(F.size(parts) == 1, F.array(F.lit(1))).otherwise(F.concat(F.slice(F.array(*(F.lit(1 << b) for b in (24, 16, 8))), F.lit(1), F.size(parts) - 1), F.array(F.lit(1))))
+    return F.when(fit, F.aggregate(F.zip_with(parts, weights, lambda p, w: p * w), F.lit(0).cast("long"), lambda a, x: a + x))
 
 
 def inet_ntoa(n: Column) -> Column:
@@ -284,3 +318,63 @@ def l2_norm(a: Column) -> Column:
 
 def cosine_distance(a: Column, b: Column) -> Column:
     return F.try_divide(inner_product(a, b), l2_norm(a) * l2_norm(b)) * -1 + 1
+
+
+# --- regular expressions
+def regexp_instr(s: Column, pattern: str, position: int = 1, occurrence: int = 1, after: bool = False) -> Column:
+    """Where the match of that number begins, or what follows it, counted in characters from 1; 0 without one. No empty matches."""
+    rest = F.substr(s, F.lit(position))
+    found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+    # What stands between the matches, and the matches before.
+    between = F.slice(F.split(rest, pattern), 1, occurrence)
+    count = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.char_length(x))
+    at = position + count(between) + count(F.slice(found, 1, occurrence - 1 + after))
+    return F.when(s.isNull(), None).when(F.size(found) < occurrence, 0).otherwise(at)
+
+
+# --- JSON
+def json_depth(s: Column) -> Column:
+    """1 for a scalar or an empty container, and one more for every container around it."""
+    bare = F.regexp_replace(F.regexp_replace(s, r'"(\\.|[^"\\])*"', "0"), r"\s+", "")
+    level = F.regexp_replace(F.regexp_replace(bare, r"\[\]|\{\}", "0"), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.when(F.try_parse_json(s).isNotNull(), F.aggregate(F.split(level, ""), start, step, lambda a: a["most"] + 1))
+
+
+def json_length(s: Column) -> Column:
+    """Members of an object, elements of an array, 1 for a scalar."""
+    return F.when(F.try_parse_json(s).isNotNull(), F.coalesce(F.json_array_length(s), F.size(F.json_object_keys(s)), F.lit(1)))
+
+
+# --- durations: signed microseconds
+def duration_part(us: Column, unit: str) -> Column:
+    """Hours may exceed a day; parts have no sign."""
+    size, limit = {"hour": (3_600_000_000, None), "minute": (60_000_000, 60), "second": (1_000_000, 60), "micro_second": (1, 1_000_000)}[unit]
+    whole = F.floor(F.abs(us) / size) if size > 1 else F.abs(us)
+    return (whole % limit if limit else whole).cast("long")
+
+
+def extract_duration(us: Column, unit: str) -> Column:
+    """EXTRACT with a unit such as DAY_MICROSECOND: the digits of hours, minutes, seconds and microseconds in one signed number."""
+    end = unit.lower().rpartition("_")[2]
+    begin = unit.lower().partition("_")[0]
+    order = ["hour", "minute", "second", "microsecond"]
+    names = order[order.index("hour" if begin == "day" else begin) : order.index(end) + 1]
+    out = F.lit(0).cast("long")
+    for n in names:
+        out = out * (1_000_000 if n == "microsecond" else 100) + duration_part(us, "micro_second" if n == "microsecond" else n)
+    return F.signum(us).cast("long") * out
+
+
+def duration_from_nanos(ns: Column) -> Column:
+    return F.when(ns < 0, -F.floor(-ns / 1000)).otherwise(F.floor(ns / 1000)).cast("long")
+
+
+def date_diff(unit: str, a: Column, b: Column) -> Column:
+    """Boundaries of the unit between a and b."""
+    return relative(unit, b) - relative(unit, a)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import unsigned
+
 
 def with_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """The groups and a row of totals, whose keys are NULL."""
@@ -23,8 +25,8 @@ def bit_xor(c: Column) -> Column:
 
 
 def bit_and(c: Column) -> Column:
-    """All ones (the unsigned maximum) on no input."""
-    return F.coalesce(F.bit_and(c).cast("decimal(20,0)"), F.lit("18446744073709551615").cast("decimal(20,0)"))
+    """Unsigned; all ones on no input."""
+    return F.coalesce(unsigned(F.bit_and(c)), F.lit("18446744073709551615").cast("decimal(20,0)"))
 
 
 def uniq_up_to(c: Column, n: int) -> Column:
