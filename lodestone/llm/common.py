@@ -62,10 +62,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more: only those whose readers have been written themselves."""
+    """Deletes written tables that nothing reads any more: only those whose readers have been written themselves. The
+    collection lets Spark's cleaner delete the shuffle files behind them, too."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def arrow_map(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

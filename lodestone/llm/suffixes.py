@@ -396,7 +396,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
     spans = members.join(repeated, ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
     spans = written(texts.select("row_id", "text").distinct().join(spans, "row_id"), "spans")
     forget(common, held, texts, pieces, strings, large, repeated)
-    return rows.select("row_id", "doc_id", "n_bytes", "sha256"), spans
+    out = rows.select("row_id", "doc_id", "n_bytes", "sha256")
+    out.written_at = rows.written_at
+    return out, spans
 
 
 def covered(starts: list[dict], length: int) -> list[tuple[int, int]]:
@@ -468,7 +470,7 @@ def passages(text: str, words: list[dict], strings: list[dict], length: int) ->
 def passage_counts(docs: DataFrame) -> DataFrame:
     """row_id, n_passages, passage_bytes: maximal runs of passages of WORDS words that occur elsewhere too, for the rows that
     have any; one row for copies."""
-    _, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes)
+    rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -476,7 +478,9 @@ def passage_counts(docs: DataFrame) -> DataFrame:
             counts = [pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), *counts], names=["row_id", "n_passages", "passage_bytes"])
 
-    return spans.select("row_id", "text", "starts").mapInArrow(count, "row_id binary, n_passages long, passage_bytes long")
+    out = written(spans.select("row_id", "text", "starts").mapInArrow(count, "row_id binary, n_passages long, passage_bytes long"), "passage-counts")
+    forget(rows, spans)
+    return out
 
 
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:

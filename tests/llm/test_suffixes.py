@@ -54,3 +54,14 @@ def test_empty_table_and_kept_texts(spark):
     assert suffixes.removal(empty).count() == 0 and suffixes.without_repeats(empty).count() == 0
     docs = spark.createDataFrame([(1, "a" * 500 + "keep", "s"), (2, "b" + "a" * 450, "s"), (3, None, None)], "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in suffixes.without_repeats(docs).collect()} == {1: "keep", 2: "b", 3: None}
+
+
+def test_passages_are_counted_beside_removal(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(4)) for _ in range(n))
+    passage, long = some(55), some(120)
+    rows = [(0, f"{some(30)} {passage}"), (1, f"{passage} {some(9)}"), (2, some(200)), (3, f"{long} x"), (4, long), (5, None), (6, passage[: len(passage) // 2])]
+    out = {x.doc_id: x for x in suffixes.removal_and_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].n_removed for i in range(7)] == [0, 0, 0, len(long), len(long), 0, 0]
+    assert [out[i].n_passages for i in range(7)] == [1, 1, 0, 1, 1, 0, 0]
+    assert [out[i].passage_bytes for i in range(7)] == [len(passage)] * 2 + [0] + [len(long)] * 2 + [0, 0]
