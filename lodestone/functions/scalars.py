@@ -378,3 +378,123 @@ def duration_from_nanos(ns: Column) -> Column:
 def date_diff(unit: str, a: Column, b: Column) -> Column:
     """Boundaries of the unit between a and b."""
     return relative(unit, b) - relative(unit, a)
+
+
+# --- special functions
+def erf(x: Column, terms: int = 120) -> Column:
+    """The error function by its series of positive terms, exp(-x * x) * sum of 2**n * x**(2n + 1) / (1 * 3 * .. * (2n + 1));
+    from 6 on it is 1 in double precision."""
+    x = x.cast("double")
+    start = F.struct(x.alias("t"), x.alias("s"))
+
+    def step(a: Column, n: Column) -> Column:
+        t = a["t"] * 2 * x * x / (2 * n + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda a: a["s"])
+    return F.when(F.abs(x) >= 6, F.signum(x)).otherwise(F.exp(-x * x) * series * 2 / F.sqrt(F.pi()))
+
+
+def _lgamma(x: Column) -> Column:
+    """For x over 0: Stirling's series at x + 10, less the factors between."""
+    y = x + 10
+    factors = functools.reduce(operator.mul, (x + k for k in range(10)))
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return (y - 0.5) * F.log(y) - y + F.log(2 * F.pi()) / 2 + series - F.log(factors)
+
+
+def lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function's absolute value; infinite at 0 and below it at every whole number."""
+    x = x.cast("double")
+    mirrored = F.log(F.pi() / F.abs(F.sin(F.pi() * x))) - _lgamma(1 - x)
+    return F.when(x > 0, _lgamma(x)).when(x == F.floor(x), F.lit(float("inf"))).when(x < 0, mirrored)
+
+
+def tgamma(x: Column) -> Column:
+    """The gamma function; not a number below 0 at whole numbers, infinite at 0."""
+    x = x.cast("double")
+    odd = F.floor(x) % 2 != 0
+    return F.when((x < 0) & (x == F.floor(x)), F.lit(float("nan"))).otherwise(F.exp(lgamma(x)) * F.when((x < 0) & odd, -1).otherwise(1))
+
+
+# --- IPv6
+def inet6_aton(s: Column) -> Column:
+    """16 bytes of an IPv6 address, 4 of an IPv4 address, else NULL. The last four bytes may be written as IPv4."""
+    dotted = r"(\d+)\.(\d+)\.(\d+)\.(\d+)$"
+    four = F.when(is_ipv4(F.regexp_extract(s, dotted, 0)), F.lpad(F.lower(F.hex(inet_aton(F.regexp_extract(s, dotted, 0)))), 8, "0"))
+    text = F.when(s.contains("."), F.concat(F.regexp_replace(s, dotted, ""), F.left(four, F.lit(4)), F.lit(":"), F.right(four, F.lit(4)))).otherwise(s)
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+    digits = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+    n, gap = F.size(groups(text)), text.contains("::")
+    fit = text.rlike("^[0-9a-fA-F:]+$") & F.forall(groups(text), lambda g: F.length(g) <= 4) & ~text.rlike(":::|::.*::|^:[^:]|[^:]:$")
+    whole = F.when(gap & (n <= 7), F.concat(digits(groups(F.substring_index(text, "::", 1))), F.repeat(F.lit("0000"), 8 - n), digits(groups(F.substring_index(text, "::", -1))))).when(~gap & (n == 8), digits(groups(text)))
+    return F.when(is_ipv4(s), F.unhex(F.lpad(F.hex(inet_aton(s)), 8, "0"))).when(fit, F.unhex(whole))
+
+
+def is_ipv6(s: Column) -> Column:
+    return F.coalesce(F.octet_length(inet6_aton(s)) == 16, F.lit(False))
+
+
+def inet6_ntoa(b: Column) -> Column:
+    """Lower-case groups without leading zeros, the first of the longest runs of zero groups as `::`; 4 bytes are IPv4."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.lower(F.substr(F.hex(b), i * 4 + 1, F.lit(4))), "^0{1,3}", ""))
+    zeros = F.array_join(F.transform(groups, lambda g: F.when(g == "0", "z").otherwise("x")), "")
+    run = F.coalesce(*(F.when(zeros.contains("z" * k), F.struct(F.instr(zeros, F.lit("z" * k)).alias("at"), F.lit(k).alias("n"))) for k in range(8, 1, -1)))
+    short = F.concat(F.array_join(F.slice(groups, F.lit(1), run["at"] - 1), ":"), F.lit("::"), F.array_join(F.slice(groups, run["at"] + run["n"], F.lit(8)), ":"))
+    return F.when(F.octet_length(b) == 4, inet_ntoa(F.conv(F.hex(b), 16, 10))).when(F.octet_length(b) == 16, F.coalesce(short, F.array_join(groups, ":")))
+
+
+def ipv4_to_ipv6(n: Column) -> Column:
+    """The mapped address, 16 bytes."""
+    return F.unhex(F.concat(F.lit("00000000000000000000ffff"), F.lpad(F.hex(n.cast("long")), 8, "0")))
+
+
+# --- registrable domains
+#: Second-level labels under which names are registered.
+_SECOND_LEVEL = ["com", "net", "org", "co"]
+
+
+def _significant(u: Column) -> tuple[Column, Column]:
+    labels = F.split(F.regexp_replace(F.regexp_replace(host(u), r"^www\.", ""), r"\.$", ""), r"\.")
+    n = F.size(labels)
+    return labels, F.when(n <= 2, 1).when(F.get(labels, n - 2).isin(_SECOND_LEVEL), n - 2).otherwise(n - 1)
+
+
+def first_significant_subdomain(u: Column) -> Column:
+    """The label before the top-level domain, or before com, net, org or co under it."""
+    labels, at = _significant(u)
+    return F.get(labels, at - 1)
+
+
+def cut_to_first_significant_subdomain(u: Column) -> Column:
+    labels, at = _significant(u)
+    return F.array_join(F.slice(labels, at, F.size(labels)), ".")
+
+
+# --- JSON paths
+def json_contains_path(s: Column, mode: str, *paths: str) -> Column:
+    """Whether one, or all, of the paths lead anywhere; to a JSON null counts."""
+    found = [F.try_variant_get(F.try_parse_json(s), p, "variant").isNotNull() for p in paths]
+    return F.when(F.try_parse_json(s).isNotNull(), functools.reduce(operator.or_ if mode == "one" else operator.and_, found))
+
+
+def json_unquote(s: Column) -> Column:
+    """The text of a JSON string, without quotes and escapes; anything else stays."""
+    return F.when(s.rlike(r'^".*"$') & F.try_parse_json(s).isNotNull(), F.get_json_object(F.concat(F.lit("["), s, F.lit("]")), "$[0]")).otherwise(s)
+
+
+# --- dates in several writings
+def parse_date_time_best_effort(s: Column) -> Column:
+    """The first of several writings that fits: ISO with T or space, with or without seconds, day first with dots or slashes,
+    month by name, digits alone, seconds since 1970; else NULL."""
+    #: The writings.
+    writings = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "dd.MM.yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "dd MMM yyyy HH:mm:ss", "yyyyMMddHHmmss", "yyyyMMdd")
+    tried = [F.try_to_timestamp(s, F.lit(w)).cast("timestamp_ntz") for w in writings]
+    return F.coalesce(F.when(s.rlike(r"^\d{9,10}$"), F.timestamp_seconds(s.try_cast("long")).cast("timestamp_ntz")), *tried)
+
+
+def time_slots(start: Column, seconds: Column, size: int = 1800) -> Column:
+    """Beginnings, in seconds since 1970, of the slots that a time and what follows it for so many seconds touch."""
+    begin = F.unix_timestamp(start.cast("timestamp"))
+    low = lambda t: (F.floor(t / size) * size).cast("long")
+    return F.sequence(low(begin), low(begin + seconds), F.lit(size).cast("long"))

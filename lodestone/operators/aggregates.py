@@ -17,11 +17,13 @@ def with_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFra
 
 
 def bit_or(c: Column) -> Column:
-    return F.coalesce(F.bit_or(c), F.lit(0).cast("long"))
+    """Unsigned; 0 on no input."""
+    return F.coalesce(unsigned(F.bit_or(c)), F.lit(0).cast("decimal(20,0)"))
 
 
 def bit_xor(c: Column) -> Column:
-    return F.coalesce(F.bit_xor(c), F.lit(0).cast("long"))
+    """Unsigned; 0 on no input."""
+    return F.coalesce(unsigned(F.bit_xor(c)), F.lit(0).cast("decimal(20,0)"))
 
 
 def bit_and(c: Column) -> Column:
@@ -33,10 +35,17 @@ def uniq_up_to(c: Column, n: int) -> Column:
     return F.least(F.count_distinct(c), F.lit(n + 1).cast("long"))
 
 
-def group_concat(value: Column, separator: str, max_length: int | None = None) -> Column:
-    """Values joined in ascending order; NULLs are left out, and a group of NULLs alone gives NULL."""
-    joined = F.array_join(F.array_sort(F.collect_list(value)), separator)
-    out = F.when(F.count(value) > 0, joined)
+def group_concat(value: Column, separator: str, max_length: int | None = None, order: Column | None = None, distinct: bool = False) -> Column:
+    """Values joined in ascending order of `order`, or of themselves; NULLs are left out, and a group of NULLs alone gives NULL.
+
+    distinct values are ordered by themselves. max_length cuts the result to as many characters."""
+    if distinct:
+        values = F.array_sort(F.collect_set(value))
+    elif order is None:
+        values = F.array_sort(F.collect_list(value))
+    else:
+        values = F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
+    out = F.when(F.count(value) > 0, F.array_join(values, separator))
     return F.left(out, F.lit(max_length)) if max_length else out
 
 
@@ -61,11 +70,18 @@ def max_intersections(df: DataFrame, start: str, end: str, keys: list[str]) -> D
     return steps.withColumn("depth", depth).groupBy(*keys).agg(F.max("depth").alias("depth"), F.expr("min_by(at, struct(-depth, at))").alias("at"))
 
 
-def quantile_exact(c: Column, q: float) -> Column:
-    """The element of rank floor(q * n), the last at most; no interpolation."""
-    values = F.array_sort(F.collect_list(c))
-    n = F.size(values)
-    return F.get(values, F.least(F.floor(F.lit(q) * n).cast("int"), n - 1))
+def quantile_exact(df: DataFrame, keys: list[str], value: str, levels: list[float], weight: str | None = None) -> DataFrame:
+    """For each level one column q0, q1, ...: of n values in order that at place floor(level * n), the last at most; with
+    weights the first value up to which the weights reach ceil(level * their sum). No interpolation.
+
+    A group is never gathered in one row: equal values are counted first, and a running sum over the counts finds the place."""
+    amount = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("_n"))
+    # The values' own order inside a key; the total beside it, so that one window serves all levels.
+    ordered, whole = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys)
+    sums = counts.withColumn("_upto", F.sum("_n").over(ordered)).withColumn("_all", F.sum("_n").over(whole))
+    reached = lambda q: F.col("_upto") >= F.ceil(F.lit(q) * F.col("_all")) if weight else F.col("_upto") > F.least(F.floor(F.lit(q) * F.col("_all")), F.col("_all") - 1)
+    return sums.groupBy(*keys).agg(*(F.min(F.when(reached(q), F.col(value))).alias(f"q{i}") for i, q in enumerate(levels)))
 
 
 def sequence_match(df: DataFrame, keys: list[str], order: str, event: str, codes: dict[str, str], pattern: str) -> DataFrame:

@@ -32,6 +32,20 @@ def null_aware_anti_join(left: DataFrame, right: DataFrame, left_key: str, right
     return null_aware_flag_join(left, right, left_key, right_key, "_in").where(~F.col("_in")).drop("_in")
 
 
+def condition_flag_join(left: DataFrame, right: DataFrame, condition: Column, name: str = "matched", negate: bool = False) -> DataFrame:
+    """Every left row with a flag: whether any right row meets the condition, whatever it compares. Columns of the left are
+    named by outer(). An unknown condition is no match. Planned as an existence join: no row is repeated."""
+    flag = right.where(condition).exists()
+    return left.select("*", (~flag if negate else flag).alias(name))
+
+
+def any_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: Column, how: str = "left") -> DataFrame:
+    """ANY join: of the right rows with a left row's key only one joins, that which comes first by order. The right side has
+    one row a key before it is joined, by an aggregate with partial results."""
+    first = right.where(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_k")).agg(F.min_by(F.struct("*"), order).alias("_r"))
+    return left.join(first, left[left_key] == F.col("_k"), how).select(*(left[c] for c in left.columns), "_r.*")
+
+
 def coerced_equal(left: Column, right: Column, kind: str) -> Column:
     """Equality of two keys under their common supertype."""
     return left.cast(kind) == right.cast(kind)

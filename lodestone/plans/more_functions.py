@@ -100,6 +100,54 @@ FUNCTIONS: list[tuple[str, str, Callable[[], Column], str]] = [
     ("cut_query_string_and_fragment", "pages", lambda: F.regexp_replace("url", r"[?#].*$", ""), r"regexp_replace(url, '[?#].*$', '')"),
     ("cut_url_parameter", "pages", lambda: F.regexp_replace("url", r"([?&])page=[^&#]*&?", "$1"), r"regexp_replace(url, '([?&])page=[^&#]*&?', '\1', 'g')"),
     ("decode_url_component_text", "pages", lambda: F.url_decode(F.concat(F.lit("%C3%A9%20"), c("page_id").cast("string"), F.lit("%2F"))), "'é ' || page_id || '/'"),
+    # --- special functions
+    ("erf", "customer", lambda: F.round(S.erf((c("c_nationkey") - 12) / 5), 9), "round(2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (-1) ** n * ((c_nationkey - 12) / 5) ** (2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 9)"),
+    ("erfc", "customer", lambda: F.round(1 - S.erf((c("c_nationkey") - 12) / 5), 9), "round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: (-1) ** n * ((c_nationkey - 12) / 5) ** (2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 9)"),
+    ("lgamma", "customer", lambda: F.round(S.lgamma(c("c_custkey") / 7 - 2.5), 6), "round(lgamma(c_custkey / 7 - 2.5), 6)"),
+    ("tgamma", "customer", lambda: F.round(S.tgamma(c("c_nationkey") / 7 - 1.5), 6), "round(gamma(c_nationkey / 7 - 1.5), 6)"),
+    # --- IPv6
+    ("tidb_ipv6_string_to_num", "customer", lambda: F.lower(F.hex(S.inet6_aton(F.concat(F.lit("2001:db8::"), F.lower(F.hex("c_nationkey")), F.lit(":7"))))), "'20010db8' || repeat('0', 16) || lpad(lower(to_hex(c_nationkey)), 4, '0') || '0007'"),
+    ("ipv6_string_to_num_mapped", "customer", lambda: F.lower(F.hex(S.inet6_aton(F.concat(F.lit("::ffff:1.2.3."), c("c_custkey").cast("string"))))), "case when c_custkey < 256 then repeat('0', 20) || 'ffff010203' || lpad(lower(to_hex(c_custkey)), 2, '0') end"),
+    ("tidb_ipv6_num_to_string", "customer", lambda: S.inet6_ntoa(F.unhex(F.concat(F.lit("20010db8"), F.repeat(F.lit("0"), 16), F.lpad(F.hex("c_nationkey"), 4, "0"), F.lit("0007")))), "case when c_nationkey = 0 then '2001:db8::7' else '2001:db8::' || lower(to_hex(c_nationkey)) || ':7' end"),
+    ("is_ipv6", "customer", lambda: S.is_ipv6(F.concat(F.repeat(F.lit("a:"), c("c_nationkey")), F.when(c("c_custkey") % 2 == 0, ":1").otherwise("1"))), "case when c_custkey % 2 = 0 then c_nationkey between 1 and 6 else c_nationkey = 7 end"),
+    ("cut_ipv6", "customer", lambda: S.inet6_ntoa(F.unhex(F.concat(F.left(F.hex(S.inet6_aton(F.concat(F.lit("2001:db8::"), F.lit("1:2")))), F.lit(28)), F.lit("0000")))), "'2001:db8::1:0'"),
+    ("ipv4_to_ipv6", "customer", lambda: F.lower(F.hex(S.ipv4_to_ipv6(c("c_custkey") * 70000))), "repeat('0', 20) || 'ffff' || lpad(lower(to_hex(c_custkey * 70000)), 8, '0')"),
+    ("ipv4_num_to_string_class_c", "customer", lambda: F.concat(F.substring_index(S.inet_ntoa(c("c_custkey") * 70000), ".", 3), F.lit(".xxx")), "concat_ws('.', ((c_custkey * 70000) >> 24) & 255, ((c_custkey * 70000) >> 16) & 255, ((c_custkey * 70000) >> 8) & 255, 'xxx')"),
+    # --- further conversions, text
+    ("to_int16", "customer", lambda: c("c_nationkey").cast("smallint"), "cast(c_nationkey as smallint)"),
+    ("to_int64", "customer", lambda: c("c_acctbal").cast("long"), "cast(trunc(c_acctbal) as bigint)"),
+    ("to_nullable", "customer", lambda: F.nullif(c("c_nationkey"), F.lit(-1)), "c_nationkey"),
+    ("to_uuid", "customer", lambda: F.regexp_replace(F.md5("c_name"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), "cast(cast(md5(c_name) as uuid) as varchar)"),
+    ("hex_native", "customer", lambda: F.hex(c("c_name").cast("binary")), "hex(c_name)"),
+    ("unhex_native", "customer", lambda: F.unhex(F.concat(F.lit("41"), F.lpad(F.hex(c("c_nationkey") + 65), 2, "0"))).cast("string"), "'A' || chr(c_nationkey + 65)"),
+    ("tidb_greatest_string", "customer", lambda: F.greatest(c("c_mktsegment"), F.lit("HOUSEHOLD")), "greatest(c_mktsegment, 'HOUSEHOLD')"),
+    ("tidb_least_string", "customer", lambda: F.least(c("c_mktsegment"), F.lit("HOUSEHOLD")), "least(c_mktsegment, 'HOUSEHOLD')"),
+    ("upper_binary", "customer", lambda: F.upper(c("c_name")), "upper(c_name)"),
+    ("reverse", "customer", lambda: F.reverse(c("c_mktsegment")), "reverse(c_mktsegment)"),
+    # --- dates and times
+    ("today", "events", lambda: F.datediff(F.current_date(), c("ts")), "datediff('day', ts::date, cast(now() at time zone 'UTC' as date))::int"),
+    ("yesterday", "events", lambda: F.datediff(F.date_sub(F.current_date(), 1), c("ts")), "datediff('day', ts::date, cast(now() at time zone 'UTC' as date))::int - 1"),
+    ("now", "events", lambda: F.now() > c("ts").cast("timestamp"), "now() at time zone 'UTC' > ts"),
+    ("sys_date_with_fsp", "events", lambda: F.length(F.date_format(F.now(), "yyyy-MM-dd HH:mm:ss.SSS")), "23"),
+    ("convert_time_zone_by_name", "events", lambda: F.convert_timezone(F.lit("UTC"), F.lit("Asia/Shanghai"), c("ts")), "ts + interval 8 hours"),
+    ("convert_time_zone_to_utc", "events", lambda: F.convert_timezone(F.lit("Asia/Kolkata"), F.lit("UTC"), c("ts")), "ts - interval 330 minutes"),
+    ("time_slots", "events", lambda: S.time_slots(c("ts"), c("user_id") % 9000), "range((epoch(ts)::bigint_ // 1800) * 1800, ((epoch_ + user_id % 9000) // 1800) * 1800 + 1, 1800)".replace("epoch(ts)::bigint_", "cast(floor(epoch(ts)) as bigint)").replace("epoch_", "cast(floor(epoch(ts)) as bigint)")),
+    ("str_to_date_date", "events", lambda: S.str_to_date(F.date_format("ts", "dd.MM.yyyy"), "%d.%m.%Y").cast("date"), "ts::date"),
+    ("parse_date_time_best_effort", "events", lambda: S.parse_date_time_best_effort(F.when(c("event_id") % 4 == 0, F.date_format("ts", "dd.MM.yyyy HH:mm:ss")).when(c("event_id") % 4 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(c("event_id") % 4 == 2, F.unix_timestamp(c("ts").cast("timestamp")).cast("string")).otherwise("soon")), "case when event_id % 4 < 3 then date_trunc('second', ts)::timestamp end"),
+    ("extract_my_date_time_from_string", "events", lambda: F.date_format(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").try_cast("timestamp_ntz"), "yyyyMM").cast("long"), "cast(strftime(ts, '%Y%m') as bigint)"),
+    *(
+        (f"to_interval_{unit}", "events", lambda place=place: c("ts") + F.make_interval(*(F.lit(0) if i != place else (c("user_id") % 40).cast("int") for i in range(7))), f"ts + to_{unit}s(cast(user_id % 40 as int))")
+        for place, unit in enumerate(("year", "month", "week", "day", "hour", "minute", "second"))
+    ),
+    # --- JSON
+    ("json_contains_path_all", "events", lambda: S.json_contains_path(F.concat(F.lit('{"a": null, "b": '), c("props"), F.lit("}")), "all", "$.a", "$.b.k"), "json_exists(props, '$.k')"),
+    ("json_contains_path_one", "events", lambda: S.json_contains_path(c("props"), "one", "$.none", "$.k"), "json_exists(props, '$.k')"),
+    ("json_unquote_text", "events", lambda: S.json_unquote(F.concat(F.lit('"a\\"\\u00e9'), c("user_id").cast("string"), F.when(c("user_id") % 2 == 0, '"').otherwise(""))), "case when user_id % 2 = 0 then 'a\"é' || user_id else '\"a\\\"\\u00e9' || user_id end"),
+    ("json_keys_2_args", "events", lambda: F.to_json(F.json_object_keys(F.get_json_object(F.concat(F.lit('{"a": '), c("props"), F.lit("}")), "$.a"))), "to_json(json_keys(props))::varchar"),
+    ("json_extract_paths", "events", lambda: F.concat(F.lit("["), F.concat_ws(",", F.get_json_object("props", "$.k"), F.get_json_object("props", "$.none")), F.lit("]")), "'[' || coalesce((props -> '$.k')::varchar, '') || ']'"),
+    # --- registrable domains
+    ("first_significant_subdomain", "pages", lambda: S.first_significant_subdomain(F.when(c("page_id") % 3 == 0, F.lit("http://www.a.shop.co.uk/x")).otherwise(c("url"))), "case when page_id % 3 = 0 then 'shop' else regexp_extract(url, '([^./]+)[.][^./]+([/?#]|$)', 1) end"),
+    ("cut_to_first_significant_subdomain", "pages", lambda: S.cut_to_first_significant_subdomain(F.when(c("page_id") % 3 == 0, F.lit("http://www.a.shop.co.uk/x")).otherwise(c("url"))), "case when page_id % 3 = 0 then 'shop.co.uk' else regexp_extract(url, '([^./]+[.][^./]+)([/?#]|$)', 1) end"),
 ]
 
 

@@ -66,7 +66,7 @@ class _Anything:
 
 
 def _defined(real: bool) -> tuple[dict[str, Query], dict[str, str]]:
-    from lodestone.plans import functions, more_functions, relational, storage  # noqa: F401
+    from lodestone.plans import functions, more_functions, more_relational, relational, storage  # noqa: F401
 
     found, sql = dict(_QUERIES), dict(_ORACLE)
 
@@ -81,6 +81,7 @@ def _defined(real: bool) -> tuple[dict[str, Query], dict[str, str]]:
     relational.define(add, **({} if real else {"F": x, "S": x, "A": x, "W": x}))
     functions.define(add, **({} if real else {"F": x, "S": x}))
     more_functions.define(add)
+    more_relational.define(add)
     return found, sql
 
 
