@@ -18,13 +18,12 @@ other's repeats, whether doc_ids are equal, null or not; an empty table gives an
 
 The pipeline's length is in words: `without_passages` cuts passages of WORDS words that occur elsewhere too, whatever white
 space is between the words, and `length` bytes in fewer words. A text's words become codes of CODE bytes, over which the
-same search runs; strings of bytes with more words inside them are left to it.
+same search runs with a code as its symbol; strings of bytes with more words inside them are left to it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -41,6 +40,8 @@ WORDS = 51
 #: Bytes of a word's hash: two words with one code would have to stand in passages that are equal otherwise.
 CODE = 6
 GRAM = 64
+#: Codes of a minimizer over words.
+WORD_GRAM = 8
 GROUP_BYTES = 4 << 20
 SORT_BYTES = 64 << 10
 #: Bytes of text whose minimizers are computed at once; places in it take 24 bits.
@@ -49,10 +50,22 @@ _PLACE = 24
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Scripts without spaces, from Thai to Han: a character of theirs is a word.
-_SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_SINGLE}]|[^\s{_SINGLE}]+")
-_CACHED = 100_000
+_SCRIPTS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+_LETTER, _SPACE, _WHOLE = 0, 1, 2
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is; the last entry stands for all beyond."""
+    out = np.zeros(0x40001, dtype=np.uint8)
+    out[[c for c in range(0x4000) if chr(c).isspace()]] = _SPACE
+    for low, high in _SCRIPTS:
+        out[low : high + 1] = _WHOLE
+    return out
+
+
+_KINDS = _kinds()
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -125,25 +138,27 @@ def suffix_array(text: list[int]) -> list[int]:
     return order[1:]
 
 
-def repeats(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string, whether the `length` bytes from each of its places occur elsewhere in the strings (places near the
-    end, with fewer bytes, never do)."""
+def repeats(strings: list[bytes], length: int, width: int = 1) -> list[np.ndarray]:
+    """For each string, whether the `length` symbols from each of its places occur elsewhere in the strings (places near the
+    end, with fewer symbols, never do). A symbol is `width` bytes."""
     text: list[int] = []
-    starts = []
+    starts, sizes = [], [len(x) // width for x in strings]
+    number: dict[bytes, int] = {}
     for x in strings:
         starts.append(len(text))
-        text += [b + 1 for b in x]
+        text += [b + 1 for b in x] if width == 1 else [number.setdefault(x[i : i + width], len(number) + 1) for i in range(0, len(x), width)]
         text.append(0)
-    raw = b"\0".join(strings) + b"\0"
+    stop = bytes(width)
+    raw = stop.join(strings) + stop
     order = suffix_array(text)
-    ends = np.repeat(np.array(starts) + [len(x) for x in strings], [len(x) + 1 for x in strings])
+    ends = np.repeat(np.array(starts) + sizes, [n + 1 for n in sizes])
     order = [i for i in order if i + length <= ends[i]]
     found = np.zeros(len(text), dtype=bool)
-    # Only suffixes with `length` bytes are left; those between two with equal beginnings begin alike.
+    # Only suffixes with `length` symbols are left; those between two with equal beginnings begin alike.
     for a, b in zip(order, order[1:], strict=False):
-        if raw[a : a + length] == raw[b : b + length]:
+        if raw[a * width : (a + length) * width] == raw[b * width : (b + length) * width]:
             found[a] = found[b] = True
-    return [found[a : a + len(x)] for a, x in zip(starts, strings, strict=True)]
+    return [found[a : a + n] for a, n in zip(starts, sizes, strict=True)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -152,9 +167,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def _symbols(data: bytes, width: int) -> np.ndarray:
+    """A number for each symbol of width bytes."""
+    if width == 1:
+        return _BYTES[np.frombuffer(data, np.uint8)]
+    padded = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    padded[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return _mixed(padded.view(np.uint64).ravel())
+
+
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the width bytes from each place, by doubling."""
-    cur, step = _BYTES[data], 1
+    """A hash of the width symbols from each place, by doubling."""
+    cur, step = data, 1
     out, have = None, 0
     while True:
         if width & step:
@@ -180,49 +204,69 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > _CACHED:
-            self.clear()
-        self[word] = code = hashlib.blake2b(word.encode(), digest_size=CODE).digest()
-        return code
-
-
-_codes = _Codes()
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after its last. A word is a run of characters that are neither white space nor of
+    a script without spaces, or one character of such a script."""
+    if text.isascii():
+        points = np.frombuffer(text.encode(), np.uint8)
+        kind = _KINDS[points]
+    else:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = _KINDS[np.minimum(points, len(_KINDS) - 1)]
+    # A word starts, or ends, at either side of a letter run's edge, and around each whole word.
+    edge, whole = kind[1:] != kind[:-1], kind == _WHOLE
+    after = np.concatenate([[True], edge | whole[1:]])
+    before = np.concatenate([edge | whole[1:], [True]])
+    word = kind != _SPACE
+    firsts, ends = np.flatnonzero(word & after[: len(kind)]), np.flatnonzero(word & before[len(before) - len(kind) :]) + 1
+    if points.itemsize > 1:
+        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        firsts, ends = at[firsts], at[ends]
+    return firsts, ends
 
 
 def word_codes(text: str) -> bytes:
-    """The text's words as codes of CODE bytes each."""
-    return b"".join(map(_codes.__getitem__, _WORD.findall(text)))
-
-
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word and the byte after its last."""
-    spans = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64).reshape(-1, 2)
-    if not text.isascii():
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-        spans = np.concatenate([[0], np.cumsum(width)])[spans]
-    return spans[:, 0], spans[:, 1]
+    """The text's words as codes of CODE bytes each: of a polynomial over the word's bytes, from differences of running sums."""
+    raw = text.encode()
+    firsts, ends = word_places(text)
+    out, i = [], 0
+    while i < len(firsts):
+        low = firsts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
+        data = np.frombuffer(raw[low : ends[j - 1]], np.uint8)
+        powers = np.full(len(data), _BASE, dtype=np.uint64)
+        powers[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * np.cumprod(powers))])
+        back = np.full(len(data), _INVERSE, dtype=np.uint64)
+        back[0] = 1
+        a, b = firsts[i:j] - low, ends[i:j] - low
+        codes = _mixed((sums[b] - sums[a]) * np.cumprod(back)[a])
+        out.append(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
+        i = j
+    return b"".join(out)
 
 
 def few_words(text: str, length: int) -> np.ndarray:
     """For each start of a string, whether it has fewer than WORDS words between its first and its last byte. Equal strings
     have equally many of them, so that either all starts of a string count or none."""
     firsts, ends = word_places(text)
-    at = np.arange(max(0, len(text.encode()) - length + 1))
-    return np.searchsorted(ends, at + length) - np.searchsorted(firsts, at, "right") < WORDS
+    size = len(text.encode())
+    n = max(0, size - length + 1)
+    # Words that end before a string's end, less those that start up to its first byte.
+    ended = np.cumsum(np.bincount(ends, minlength=size + 1), dtype=np.int32)
+    started = np.cumsum(np.bincount(firsts, minlength=size + 1), dtype=np.int32)
+    return ended[length - 1 : length - 1 + n] - started[:n] < WORDS
 
 
-def stretches(text: bytes, length: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(text: bytes, length: int, wanted: np.ndarray | None = None, width: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer hash, place of the minimizer, first and last start of each stretch of the text's strings; of the starts that
-    are wanted, if not of all."""
+    are wanted, if not of all. Lengths and places are in bytes, at whole symbols of `width` bytes."""
     grams, places, firsts, lasts = [], [], [], []
-    for at in range(0, len(text) - length + 1, PIECE):
-        data = np.frombuffer(text[at : at + PIECE + length - 1], np.uint8)
-        h = _mixed(_hashes(data, GRAM))
+    own_gram, length = GRAM if width == 1 else WORD_GRAM, length // width
+    for at in range(0, len(text) // width - length + 1, PIECE):
+        h = _mixed(_hashes(_symbols(text[at * width : (at + PIECE + length - 1) * width], width), own_gram))
         ranked = (h & _U(~((1 << _PLACE) - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
-        q = (_least(ranked, length - GRAM + 1) & _U((1 << _PLACE) - 1)).astype(np.int64)
+        q = (_least(ranked, length - own_gram + 1) & _U((1 << _PLACE) - 1)).astype(np.int64)
         edge = q[1:] != q[:-1]
         if wanted is not None:
             own = wanted[at : at + len(q)]
@@ -232,9 +276,9 @@ def stretches(text: bytes, length: int, wanted: np.ndarray | None = None) -> tup
         if wanted is not None:
             first, last = first[own[first]], last[own[first]]
         grams.append(h[q[first]].view(np.int64))
-        places.append(q[first] + at)
-        firsts.append(first + at)
-        lasts.append(last + at)
+        places.append((q[first] + at) * width)
+        firsts.append((first + at) * width)
+        lasts.append((last + at) * width)
     return tuple(np.concatenate(x) for x in (grams, places, firsts, lasts)) if grams else (np.zeros(0, np.int64),) * 4
 
 
@@ -260,13 +304,14 @@ def _agreement(parts: list[bytes]) -> list[int]:
     return out
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, width: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows (gram, key, copies, off, data), those of a gram one after another: (gram, key, a, b) of starts a to b that repeat.
 
     Equal strings are equal to both sides of their minimizer. So what lies beyond the longest agreement to the left and to the
     right with any other stretch of the minimizer can't be in a repeat: stretches are clipped to it, and equal clips are
-    one, before they are sorted."""
+    one, before they are sorted. Symbols have `width` bytes; clips end with whole ones."""
     rows: list[tuple] = []
+    count = length // width
     clips: dict[tuple[int, int, bytes], int] = {}
     times: list[int] = []
     size = 0
@@ -277,17 +322,17 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         sorted_ones = [k for k, (gram, _, _) in enumerate(clips) if several[gram] > 1]
         names = list(clips)
         # Clips by their bytes alone: another minimizer's clips can't hold the same strings.
-        marks = {k: m for k, m in zip(sorted_ones, repeats([names[k][2] for k in sorted_ones], length) if sorted_ones else (), strict=True)}
+        marks = {k: m for k, m in zip(sorted_ones, repeats([names[k][2] for k in sorted_ones], count, width) if sorted_ones else (), strict=True)}
         out: tuple[list, ...] = ([], [], [], [])
         for gram, key, copies, n, low, clip in rows:
             if copies > 1:
-                mark = np.ones(n - length + 1, dtype=bool)
+                mark = np.ones(n - count + 1, dtype=bool)
             else:
-                mark = np.zeros(n - length + 1, dtype=bool)
-                size = len(names[clip][2]) - length + 1
+                mark = np.zeros(n - count + 1, dtype=bool)
+                size = len(names[clip][2]) // width - count + 1
                 mark[low : low + size] = times[clip] > 1 or (marks[clip][:size] if clip in marks else False)
             for a, b in zip(*_runs(mark), strict=True):
-                for column, value in zip(out, (gram, key, int(a), int(b)), strict=True):
+                for column, value in zip(out, (gram, key, int(a) * width, int(b) * width), strict=True):
                     column.append(value)
         rows.clear()
         clips.clear()
@@ -300,6 +345,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         added = 0
         for (gram, key, copies, off, data), r, l in zip(group, right, left, strict=True):
             clip = -1
+            l, r = l - l % width, r - r % width
             if l + r >= length:
                 name = (gram, l, data[off - l : off + r])
                 clip = clips.get(name, -1)
@@ -309,7 +355,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                     added += len(name[2])
                 times[clip] += 1
             if clip >= 0 or copies > 1:
-                rows.append((gram, key, copies, len(data), off - l, clip))
+                rows.append((gram, key, copies, len(data) // width, (off - l) // width, clip))
         return added
 
     group: list[tuple] = []
@@ -327,25 +373,26 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
     yield solve()
 
 
-def _by_hash(strings: DataFrame, length: int) -> DataFrame:
+def _by_hash(strings: DataFrame, length: int, width: int = 1) -> DataFrame:
     """The same for strings whose minimizer's group is too large for one task: every start's string is counted by a hash."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             for gram, key, copies, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(data) - length + 1
-                marks = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array([copies] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(marks, pa.binary())], names=["gram", "key", "copies", "a", "mark"])
+                at = range(0, len(data) - length + 1, width)
+                n = len(at)
+                marks = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array([gram] * n, pa.int64()), pa.array([key] * n, pa.binary()), pa.array([copies] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(marks, pa.binary())], names=["gram", "key", "copies", "a", "mark"])
 
     starts = written(strings.mapInArrow(hashed, "gram long, key binary, copies long, a int, mark binary"), "starts")
     twice = starts.groupBy("mark").agg(F.sum("copies").alias("n")).where("n > 1").select("mark")
-    return starts.join(twice, "mark").select("gram", "key", "a", (F.col("a") + 1).alias("b"))
+    return starts.join(twice, "mark").select("gram", "key", "a", (F.col("a") + width).alias("b"))
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str], bytes] = str.encode, wanted: Callable[[str, int], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str], bytes] = str.encode, wanted: Callable[[str, int], np.ndarray] | None = None, width: int = 1) -> tuple[DataFrame, DataFrame]:
     """Two written tables: rows (row_id, doc_id, n_bytes, sha256) and spans (row_id, spans array<struct<a, b>>, text, doc_id)
     for the rows that lose bytes. docs: doc_id, text. Spans are places in what `encoded` makes of a text; `wanted` tells
-    which of its starts count."""
+    which of its starts count; its symbols have `width` bytes."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"), 256)).withColumn("row_id", F.unhex("row_id"))
 
@@ -354,7 +401,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
             columns: list[list] = [[] for _ in range(5)]
             for text in batch.column("text").to_pylist():
                 raw = text.encode()
-                found = stretches(encoded(text), length, wanted and wanted(text, length))
+                found = stretches(encoded(text), length, wanted and wanted(text, length), width)
                 for column, values in zip(columns[:4], found, strict=True):
                     column.append(values)
                 columns[4].append((len(raw), hashlib.sha256(raw).hexdigest()))
@@ -388,9 +435,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str],
     small = strings.join(large, "gram", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = small.select("gram", "key", "copies", "off", "data").repartition(parts, "gram").sortWithinPartitions("gram")
-    found = ordered.mapInArrow(lambda batches: _sorted_groups(batches, length), "gram long, key binary, a int, b int")
+    found = ordered.mapInArrow(lambda batches: _sorted_groups(batches, length, width), "gram long, key binary, a int, b int")
     if large.limit(1).count():
-        found = found.unionByName(_by_hash(strings.join(large, "gram").select("gram", "key", "copies", "data"), length))
+        found = found.unionByName(_by_hash(strings.join(large, "gram").select("gram", "key", "copies", "data"), length, width))
     members = pieces.select("gram", "key", "row_id", "first").distinct()
     repeated = written(found, "repeats")
     spans = members.join(repeated, ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
@@ -470,7 +517,7 @@ def passages(text: str, words: list[dict], strings: list[dict], length: int) ->
 def passage_counts(docs: DataFrame) -> DataFrame:
     """row_id, n_passages, passage_bytes: maximal runs of passages of WORDS words that occur elsewhere too, for the rows that
     have any; one row for copies."""
-    rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes)
+    rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes, width=CODE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -487,7 +534,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs without passages of WORDS words, or of `length` bytes, that occur elsewhere too; else as
     without_repeats."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, words = find_repeats(own, CODE * WORDS, encoded=word_codes)
+    _, words = find_repeats(own, CODE * WORDS, encoded=word_codes, width=CODE)
     _, strings = find_repeats(own, length, wanted=few_words)
     both = words.withColumnRenamed("starts", "words").join(strings.select("row_id", F.col("text").alias("same"), F.col("starts").alias("strings")), "row_id", "full")
 

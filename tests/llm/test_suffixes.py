@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -65,3 +66,35 @@ def test_passages_are_counted_beside_removal(spark):
     assert [out[i].n_removed for i in range(7)] == [0, 0, 0, len(long), len(long), 0, 0]
     assert [out[i].n_passages for i in range(7)] == [1, 1, 0, 1, 1, 0, 0]
     assert [out[i].passage_bytes for i in range(7)] == [len(passage)] * 2 + [0] + [len(long)] * 2 + [0, 0]
+
+
+def test_words_against_a_pattern():
+    single = "".join(f"{chr(a)}-{chr(b)}" for a, b in suffixes._SCRIPTS)
+    pattern = re.compile(rf"[{single}]|[^\s{single}]+")
+    r = random.Random(9)
+    letters = ["a", "bc", " ", "\n", "　", "ก", "中", "é", "\U0001f600", "\U00020001", "\x1c", "\u0085", "\U000e0001"]
+    texts = ["", " ", "a", "中", "  a", "a  ", "x" * 3000, *("".join(r.choices(letters, k=r.randrange(900))) for _ in range(80))]
+    codes: dict[str, bytes] = {}
+    for text in texts:
+        spans = [(len(text[: m.start()].encode()), len(text[: m.end()].encode())) for m in pattern.finditer(text)]
+        firsts, ends = suffixes.word_places(text)
+        assert list(zip(firsts.tolist(), ends.tolist(), strict=True)) == spans
+        found = suffixes.word_codes(text)
+        for i, word in enumerate(pattern.findall(text)):
+            code = found[i * suffixes.CODE : (i + 1) * suffixes.CODE]
+            assert codes.setdefault(word, code) == code
+        for length in (1, 40, 400):
+            want = [sum(a > i and b < i + length for a, b in spans) < suffixes.WORDS for i in range(max(0, len(text.encode()) - length + 1))]
+            assert suffixes.few_words(text, length).tolist() == want
+    assert len(set(codes.values())) == len(codes)
+
+
+def test_repeats_of_wide_symbols():
+    r = random.Random(3)
+    strings = [bytes(r.choices(b"ab", k=3 * r.randrange(1, 60))) for _ in range(12)]
+    seen: dict[bytes, int] = {}
+    for x in strings:
+        for i in range(0, len(x) - 11, 3):
+            seen[x[i : i + 12]] = seen.get(x[i : i + 12], 0) + 1
+    for x, found in zip(strings, suffixes.repeats(strings, 4, 3), strict=True):
+        assert found.tolist() == [len(x[i : i + 12]) == 12 and seen[x[i : i + 12]] > 1 for i in range(0, len(x), 3)]
