@@ -109,3 +109,11 @@ def test_sql_of_queries(spark, name):
     columns = sorted(found.columns)
     expected = con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, (tuple(r) for r in found.select(*columns).collect()))) == sorted(map(repr, expected))
+
+
+def test_one_entry_for_a_word_in_all_its_forms():
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.Encoder(path)
+    texts = ["Été été, ÉTÉ. (Été", "été?!", "Don't don't; DON'T", "İ, İ", "क़, क़_", "é, ẖ. H̱.", "²», ½.", "ȺȾ: ⱥⱦ", "a\x1cb, c", "", "…, x…, x'S. 's", "a <|ENDOFTEXT|>, b<|endoftext|>, c"]
+    assert encoder(texts) == [encoder._one(t) for t in texts]
+    assert sum("été" in w.lower() for w in encoder.known) <= 2
