@@ -117,3 +117,19 @@ def test_one_entry_for_a_word_in_all_its_forms():
     texts = ["Été été, ÉTÉ. (Été", "été?!", "Don't don't; DON'T", "İ, İ", "क़, क़_", "é, ẖ. H̱.", "²», ½.", "ȺȾ: ⱥⱦ", "a\x1cb, c", "", "…, x…, x'S. 's", "a <|ENDOFTEXT|>, b<|endoftext|>, c"]
     assert encoder(texts) == [encoder._one(t) for t in texts]
     assert sum("été" in w.lower() for w in encoder.known) <= 2
+
+
+def test_top_k_over_several_groups(spark, monkeypatch):
+    """Queries aren't joined with candidates: nothing is broadcast or buffered for a key, and a group gives a list for each query."""
+    for name, value in (("CANDIDATE_BLOCK", 64), ("QUERY_BLOCK", 8), ("GROUP_BYTES", 4 << 10)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(5)
+    v = r.integers(-300, 300, (1500, 8)).tolist()
+    v[700:760] = [v[3]] * 60
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, v array<long>").repartition(7)
+    found = topk.top_k(df, df.where("vec_id % 50 = 0"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("q_data" in x for x in plan.split("\n") if "Join" in x) and plan.count("Join") <= 1
+    a = np.array(v)
+    expected = [(q, n + 1, int(c), int((a @ a[q])[c])) for q in range(0, 1500, 50) for n, c in enumerate(sorted((i for i in range(1500) if i != q), key=lambda i: (-int(a[i] @ a[q]), i))[:5])]
+    assert sorted(map(tuple, found.collect())) == expected
