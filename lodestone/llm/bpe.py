@@ -265,6 +265,11 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def joined(planes: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Numbers start to stop of those whose bytes lie in four planes; never all at once, as a chunk's take as much as its texts."""
+    return np.ascontiguousarray(planes[:, start:stop].T).view("<u4").ravel()
+
+
 def chunks_of(docs: DataFrame, pattern: str, held: np.ndarray, size: int = CHUNK_BYTES) -> DataFrame:
     """chunk, doc_ids, counts, numbers, words: a row for about every size characters of text."""
 
@@ -322,23 +327,22 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
             names = _words(packed)
             single = np.fromiter((ranks[w] if w in whole else -1 for w in names), np.int64, len(names))
             start, size = np.zeros(len(names), np.int64), np.full(len(names), -1, np.int64)
-            tokens = [np.asarray(own.values, dtype=np.int64)]
+            tokens = [np.asarray(own.values).astype("<u4")]
             at = len(tokens[0])
             start[asked], size[asked] = ends[:-1], np.diff(ends)
             mine = np.flatnonzero(single >= 0)
             start[mine], size[mine] = at + np.arange(len(mine)), 1
-            tokens.append(single[mine])
+            tokens.append(single[mine].astype("<u4"))
             at += len(mine)
             for n in np.flatnonzero(size < 0).tolist():
                 if len(names[n]) <= FOLD_BYTES:
                     raise KeyError(f"a word of chunk {chunk} is missing: {names[n]!r}")
-                tokens.append(np.array(merge(names[n], ranks, pairs), dtype=np.int64))
+                tokens.append(np.array(merge(names[n], ranks, pairs), dtype="<u4"))
                 start[n], size[n] = at, len(tokens[-1])
                 at += size[n]
-            book = np.concatenate(tokens).astype("<u4")
-            del names, tokens
+            book = np.concatenate(tokens)
+            del names, tokens, single, mine
             planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(numbers), np.uint8).reshape(4, -1)
-            sequence = np.ascontiguousarray(planes.T).view("<u4").ravel()
             bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tolist()
             out: list[tuple] = []
             for doc_id, a, b in zip(doc_ids, bounds, bounds[1:], strict=False):
@@ -346,7 +350,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                 n = 0
                 # A long text goes piece by piece.
                 for i in range(a, b, 1 << 18):
-                    part = sequence[i : min(b, i + (1 << 18))]
+                    part = joined(planes, i, min(b, i + (1 << 18)))
                     these = book[_ranges(start[part], size[part])]
                     n += len(these)
                     ids.update(these.tobytes())

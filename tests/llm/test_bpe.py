@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -42,3 +43,10 @@ def test_parts_hold_whole_words():
         word = bytes(r.choice(b"aeiourst\xc3\xa9\xe4\xb8\xad") for _ in range(r.randint(1, 80)))
         parts = bpe.parts_of(word, held)
         assert b"".join(parts) == word and sum((bpe.merge(p, ranks, pairs) for p in parts), []) == bpe.merge(word, ranks, pairs)
+
+
+def test_numbers_are_joined_by_parts():
+    numbers = np.random.default_rng(0).integers(0, bpe.WORDS, 10_000).astype("<u4")
+    planes = numbers.view(np.uint8).reshape(-1, 4).T.copy()
+    for start, stop in ((0, 0), (0, 1), (17, 4000), (9_999, 10_000), (0, 10_000)):
+        assert (bpe.joined(planes, start, stop) == numbers[start:stop]).all()
