@@ -6,7 +6,8 @@ window of SEQUENCE tokens is filled in rounds over the queues: each queue's defi
 tokens of the deficit are taken, and what is left of it is carried to the next window. Windows come in regions of REGION;
 a region's slice of every queue follows from the totals alone, and its deficits at the start are those carried over from
 the region before. So any task can replay the schedule of the regions its documents fall in, and documents are
-placed where they are: no queue is gathered anywhere and no tokens are shuffled. What a region has beyond full windows goes to sequences
+placed where they are: no queue is gathered anywhere and no tokens are shuffled. As queues drift apart in a large corpus, a task
+takes its documents by region and replays their regions side by side, each of them once. What a region has beyond full windows goes to sequences
 whose lengths are powers of two, which take no padding.
 
 Defined results: a null or empty text is its end token alone; a null source is the source ''. Of more than MAX_QUEUES sources
@@ -41,8 +42,11 @@ BROADCAST_ROWS = 200_000
 CACHED_STRETCHES = 1_200_000
 #: Letters below this are their own NFC and have one lower case.
 LATIN = 0x250
-#: Regions a task keeps; rows of a block fall in neighbouring ones.
-KEPT_REGIONS = 96
+#: Regions times queues that a task replays at once and keeps; lists of cuts of a queue in a region that it keeps.
+KEPT_CELLS = 1 << 13
+KEPT_CUTS = 256
+#: Bytes of tokens, and documents, that a task places at once, by region.
+PLACED_BYTES, PLACED_ROWS = 16 << 20, 8192
 
 _state: dict = {}
 
@@ -140,6 +144,8 @@ class Schedule:
         self.windows = -(-self.tokens // SEQUENCE)
         self.regions = -(-self.windows // REGION)
         self._kept: OrderedDict = OrderedDict()
+        self._cuts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        self.at_once = max(1, KEPT_CELLS // max(1, len(totals)))
         # Spans between which the same queues have tokens: (tokens before, tokens of each queue before, shares).
         self.spans: list[tuple[float, list[float], list[float]]] = []
         weights = [float(t) for t in (targets or totals)]
@@ -172,56 +178,86 @@ class Schedule:
         return self.totals[queue] if region >= self.regions else int(self.ideal(queue, region))
 
     def region_of(self, queue: int, position: int) -> int:
-        return bisect_right(range(1, self.regions), position, key=lambda r: self.bound(queue, r))
-
-    def region(self, number: int) -> list[list[tuple[int, int, int, int]]]:
-        """For each queue its cuts in the region: (position, length, sequence, offset)."""
-        if number in self._kept:
-            self._kept.move_to_end(number)
-            return self._kept[number]
+        if len(self.spans) > 1:
+            return bisect_right(range(1, self.regions), position, key=lambda r: self.bound(queue, r))
+        # With one span bounds are multiples of a share, but for fractions of tokens.
+        region = min(self.regions - 1, int(position / self.spans[0][2][queue]) // (REGION * SEQUENCE))
+        while region and self.bound(queue, region) > position:
+            region -= 1
+        while region < self.regions - 1 and self.bound(queue, region + 1) <= position:
+            region += 1
+        return region
+
+    def prepare(self, numbers: list[int]) -> None:
+        """Replays the regions that aren't kept, all of them side by side: window by window, in arrays of regions and queues."""
+        todo = [r for r in numbers if r not in self._kept]
+        for r in numbers:
+            if r in self._kept:
+                self._kept.move_to_end(r)
+        if not todo:
+            return
         queues = range(len(self.totals))
-        at = [self.bound(q, number) for q in queues]
-        stop = [self.bound(q, number + 1) for q in queues]
-        share = self.span(number)[2]
-        deficit = [self.ideal(q, number) - at[q] for q in queues]
-        left = sum(stop) - sum(at)
-        lengths = [SEQUENCE] * (left // SEQUENCE) + [1 << b for b in range(SEQUENCE.bit_length() - 1, -1, -1) if (left % SEQUENCE) >> b & 1]
-        cuts: list[list[tuple[int, int, int, int]]] = [[] for _ in queues]
-        turn = number % max(1, len(self.totals))
-        order = [*range(turn, len(self.totals)), *range(turn)]
-        for k, length in enumerate(lengths):
-            sequence, room = number * (REGION + SPARE + len(self.totals)) + k, length
-            take = [0] * len(at)
-            for q in order:
-                deficit[q] += share[q] * length
-                take[q] = min(max(int(deficit[q]), 0), stop[q] - at[q], room)
-                room -= take[q]
-            for q in sorted((q for q in queues if stop[q] - at[q] > take[q]), key=lambda q: (take[q] - deficit[q], q)) if room else ():
+        at = np.array([[self.bound(q, r) for q in queues] for r in todo], dtype=np.int64)
+        left = np.array([[self.bound(q, r + 1) for q in queues] for r in todo], dtype=np.int64) - at
+        share = np.array([self.span(r)[2] for r in todo])
+        deficit = np.array([[self.ideal(q, r) for q in queues] for r in todo]) - at
+        sizes = [[SEQUENCE] * (n // SEQUENCE) + [1 << b for b in range(SEQUENCE.bit_length() - 1, -1, -1) if (n % SEQUENCE) >> b & 1] for n in left.sum(axis=1).tolist()]
+        windows = max(map(len, sizes))
+        lengths = np.array([x + [0] * (windows - len(x)) for x in sizes], dtype=np.int64)
+        rows = np.arange(len(todo))
+        # Queues take turns from another one in each region.
+        turn = np.array(todo) % len(self.totals)
+        behind = np.arange(len(self.totals)) < turn[:, None]
+
+        def before(x: np.ndarray) -> np.ndarray:
+            """Sums over the queues whose turn is earlier."""
+            run = np.cumsum(x, axis=1)
+            first = run - x
+            return first - first[rows, turn][:, None] + behind * run[:, -1:]
+
+        takes = np.zeros((len(todo), windows, len(self.totals)), dtype=np.int16)
+        offsets = np.zeros_like(takes)
+        for k in range(windows):
+            deficit += share * lengths[:, k : k + 1]
+            want = np.minimum(np.maximum(deficit, 0.0).astype(np.int64), left)
+            take = np.minimum(want, np.maximum(lengths[:, k : k + 1] - before(want), 0))
+            room = lengths[:, k] - take.sum(axis=1)
+            if room.any():
                 # Fractions of tokens: the queues that are owed most give one more; if queues run dry, others give all that is missing.
-                more = min(1, room)
-                take[q] += more
-                room -= more
-            for q in order:
-                if room and (more := min(room, stop[q] - at[q] - take[q])):
-                    take[q] += more
-                    room -= more
-            offset = 0
-            for q in order:
-                if take[q]:
-                    cuts[q].append((at[q], take[q], sequence, offset))
-                    at[q] += take[q]
-                    offset += take[q]
-                    deficit[q] -= take[q]
-        self._kept[number] = cuts
-        if len(self._kept) > KEPT_REGIONS:
+                owed = np.where(left > take, take - deficit, np.inf)
+                rank = np.empty_like(take)
+                np.put_along_axis(rank, np.argsort(owed, axis=1, kind="stable"), np.arange(len(self.totals))[None, :], axis=1)
+                take += (rank < room[:, None]) & (left > take)
+                room = lengths[:, k] - take.sum(axis=1)
+                if room.any():
+                    more = left - take
+                    take += np.minimum(more, np.maximum(room[:, None] - before(more), 0))
+            takes[:, k], offsets[:, k] = take, before(take)
+            left -= take
+            deficit -= take
+        for i, r in enumerate(todo):
+            self._kept[r] = (at[i], takes[i].copy(), offsets[i].copy())
+        while len(self._kept) > max(len(numbers), self.at_once):
             self._kept.popitem(last=False)
-        return cuts
+
+    def cuts(self, queue: int, region: int) -> list[tuple[int, int, int, int]]:
+        """The queue's cuts in the region: (position, length, sequence, offset)."""
+        if (queue, region) not in self._cuts:
+            self.prepare([region])
+            at, takes, offsets = self._kept[region]
+            some = np.flatnonzero(takes[:, queue])
+            n = takes[some, queue].astype(np.int64)
+            sequences = region * (REGION + SPARE + len(self.totals)) + some
+            if len(self._cuts) >= KEPT_CUTS:
+                self._cuts.clear()
+            self._cuts[queue, region] = list(zip((at[queue] + np.cumsum(n) - n).tolist(), n.tolist(), sequences.tolist(), offsets[some, queue].tolist(), strict=True))
+        return self._cuts[queue, region]
 
     def pieces(self, queue: int, position: int, length: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, sequence, offset) of a document at a queue's position."""
         at, end = position, position + length
         while at < end:
-            cuts = self.region(self.region_of(queue, at))[queue]
+            cuts = self.cuts(queue, self.region_of(queue, at))
             k = bisect_right(cuts, at, key=lambda c: c[0]) - 1
             while k < len(cuts) and at < end:
                 start, size, sequence, offset = cuts[k]
@@ -230,6 +266,28 @@ class Schedule:
                 at += n
                 k += 1
 
+    def in_order(self, rows: list[tuple[int, int, int]]) -> Iterator[int]:
+        """Numbers of the rows (queue, position, length) by region, so that each region is replayed once for them, wherever
+        the queues are. Regions are prepared, as many as fit at once, before the first row that needs them."""
+        first = [self.region_of(q, p) for q, p, _ in rows]
+        some: list[int] = []
+        wanted: set[int] = set()
+
+        def ready() -> Iterator[int]:
+            self.prepare(sorted(wanted))
+            yield from some
+            some.clear()
+            wanted.clear()
+
+        for i in sorted(range(len(rows)), key=lambda i: (first[i], rows[i])):
+            queue, position, n = rows[i]
+            last = min(first[i] + self.at_once - 1, self.region_of(queue, position + n - 1))
+            if some and len(wanted.union(range(first[i], last + 1))) > self.at_once:
+                yield from ready()
+            wanted.update(range(first[i], last + 1))
+            some.append(i)
+        yield from ready()
+
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """A written table: doc_id, queue, block, at (tokens of the queue before, in this block), n, ids (16-bit, with the end id)."""
@@ -272,14 +330,30 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False, targets: dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(totals, weights)
-        for batch in sliced(batches):
-            rows = []
-            for doc_id, lane, position, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+
+        def place(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for i in schedule.in_order([(names[lane], position, n) for _, lane, position, n, _ in docs]):
+                doc_id, lane, position, n, raw = docs[i]
                 ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                 for start, size, sequence, offset in schedule.pieces(names[lane], position, n):
                     part = ids[4 * start : 4 * (start + size)]
                     rows.append((doc_id, start, size, zlib.crc32(part), n, sequence, offset, *([np.frombuffer(part, "<i4")] * keep_ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+        held: list[tuple] = []
+        size = 0
+        for batch in sliced(batches):
+            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            size += batch.nbytes
+            if size >= PLACED_BYTES or len(held) >= PLACED_ROWS:
+                yield from place(held)
+                held, size = [], 0
+        yield from place(held)
 
     names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = pa.schema([(c, pa.int64()) for c in names_out] + [("ids", pa.list_(pa.int32()))] * keep_ids)

@@ -91,6 +91,21 @@ def test_every_token_once(totals, targets):
     _mixture(totals, targets)
 
 
+def test_each_region_is_replayed_once_for_a_tasks_documents(monkeypatch):
+    # Rows in turn from 150 queues, each at another place: their regions are far apart.
+    r = random.Random(4)
+    totals = [r.randrange(3, 9) * 400_000 for _ in range(150)]
+    rows = [(q, k * 1000 + totals[q] * q // 300, 1000) for k in range(4) for q in range(150)]
+    schedule, replayed = packing.Schedule(totals), []
+    prepare = packing.Schedule.prepare
+    monkeypatch.setattr(packing.Schedule, "prepare", lambda self, numbers: (replayed.extend(n for n in numbers if n not in self._kept), prepare(self, numbers)))
+    found = {i: list(schedule.pieces(*rows[i])) for i in schedule.in_order(rows)}
+    needed = {n for q, at, size in rows for n in range(schedule.region_of(q, at), schedule.region_of(q, at + size - 1) + 1)}
+    assert sorted(found) == list(range(len(rows))) and sorted(replayed) == sorted(needed) and len(needed) > 96
+    assert all(sum(n for _, n, _, _ in found[i]) == 1000 for i in found)
+    assert all(found[i] == list(packing.Schedule(totals).pieces(*rows[i])) for i in range(0, len(rows), 40))
+
+
 def test_targets_by_name(spark):
     docs = spark.createDataFrame([(i, "word " * 300, "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
     path = queries.public_tokenizers.path("word_bpe_49k.json")
