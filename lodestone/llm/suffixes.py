@@ -3,8 +3,8 @@
 A byte goes if a string of `length` bytes that covers it starts anywhere else too. Strings are dealt by their minimizer, the
 GRAM bytes of least hash inside them: equal strings have equal minimizers at equal places, so all starts of a string meet
 under one key. Starts whose minimizer lies at one place form a stretch of a text; only stretches with a minimizer that
-occurs at least twice are kept, equal stretches are one with a count, and stretches of one minimizer are sorted by a
-suffix array: neighbours that agree over `length` bytes are repeats.
+occurs at least twice are kept, equal stretches are one with a count, and stretches of one minimizer, but for those that another
+one holds whole, are sorted by a suffix array: neighbours that agree over `length` bytes are repeats.
 
 The suffix array comes by linear grouping: suffixes are grouped by their longest Lyndon prefix, groups are processed in
 descending order, previous-smaller pointers carry each group's refinement to the suffixes before it, and the order inside the groups
@@ -24,11 +24,13 @@ same search runs with a code as its symbol; strings of bytes with more words ins
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,10 @@ GRAM = 64
 WORD_GRAM = 8
 GROUP_BYTES = 4 << 20
 SORT_BYTES = 64 << 10
+#: Clips that may hold another one whole, of those of a minimizer.
+NEIGHBOURS = 256
+#: Bytes of stretches of which a task keeps one for its copies, before it passes them on.
+KEPT_BYTES = 16 << 20
 #: Bytes of text whose minimizers are computed at once; places in it take 24 bits.
 PIECE = 2 << 20
 _PLACE = 24
@@ -54,6 +60,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Scripts without spaces, from Thai to Han: a character of theirs is a word.
 _SCRIPTS = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
 _LETTER, _SPACE, _WHOLE = 0, 1, 2
+#: Longest text whose powers are kept.
+KEPT_POWERS = 1 << 17
+_made: dict[str, np.ndarray] = {}
 
 
 def _kinds() -> np.ndarray:
@@ -66,6 +75,7 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
+_BYTE_KINDS = np.where(np.arange(256) < 0x80, _KINDS[:256], _LETTER).astype(np.uint8)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -176,22 +186,37 @@ def _symbols(data: bytes, width: int) -> np.ndarray:
     return _mixed(padded.view(np.uint64).ravel())
 
 
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of _BASE and of its inverse; those for texts of usual length are kept."""
+    if size <= len(_made.get("powers", ())):
+        return _made["powers"], _made["inverses"]
+    both = []
+    for base in (_BASE, _INVERSE):
+        powers = np.full(max(size, 1 << 13) + size // 8, _U(base))
+        powers[0] = 1
+        both.append(np.multiply.accumulate(powers, out=powers))
+    if size <= KEPT_POWERS:
+        _made["powers"], _made["inverses"] = both
+    return both[0], both[1]
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of a polynomial over the symbols, from 0; data is overwritten."""
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    data *= _powers(len(data))[0][: len(data)]
+    np.cumsum(data, out=out[1:])
+    return out
+
+
 def _hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the width symbols from each place, by doubling."""
-    cur, step = data, 1
-    out, have = None, 0
-    while True:
-        if width & step:
-            if out is None:
-                out, have = cur.copy(), step
-            else:
-                m = min(len(out), len(cur) - have)
-                out = out[:m] * _U(pow(_BASE, step, 1 << 64)) + cur[have : have + m]
-                have += step
-        if step * 2 > width:
-            return out[: len(data) - width + 1]
-        cur = cur[: len(cur) - step] * _U(pow(_BASE, step, 1 << 64)) + cur[step:]
-        step *= 2
+    """A hash of the width symbols from each place: differences of running sums, taken back to the first power. data is overwritten."""
+    sums = _sums(data)
+    out = sums[width:] - sums[:-width]
+    out *= _powers(len(out))[1][: len(out)]
+    # Low bits of the sums depend on low bits alone: the high ones, by which minima are found, get more of them.
+    out ^= out >> _U(32)
+    out *= _U(0xD6E8FEB86659FD93)
+    return out
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -207,22 +232,23 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after its last. A word is a run of characters that are neither white space nor of
     a script without spaces, or one character of such a script."""
-    if text.isascii():
-        points = np.frombuffer(text.encode(), np.uint8)
-        kind = _KINDS[points]
-    else:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        kind = _KINDS[np.minimum(points, len(_KINDS) - 1)]
+    raw = text.encode()
+    # Below U+0800 are no scripts without spaces, and beyond ASCII two white spaces: words are runs of bytes.
+    if text.isascii() or (np.frombuffer(raw, np.uint8).max() < 0xE0 and b"\xc2\x85" not in raw and b"\xc2\xa0" not in raw):
+        space = np.ones(len(raw) + 2, dtype=bool)
+        np.equal(_BYTE_KINDS[np.frombuffer(raw, np.uint8)], _SPACE, out=space[1:-1])
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        return edges[::2], edges[1::2]
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _KINDS[np.minimum(points, len(_KINDS) - 1)]
     # A word starts, or ends, at either side of a letter run's edge, and around each whole word.
     edge, whole = kind[1:] != kind[:-1], kind == _WHOLE
     after = np.concatenate([[True], edge | whole[1:]])
     before = np.concatenate([edge | whole[1:], [True]])
     word = kind != _SPACE
     firsts, ends = np.flatnonzero(word & after[: len(kind)]), np.flatnonzero(word & before[len(before) - len(kind) :]) + 1
-    if points.itemsize > 1:
-        at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
-        firsts, ends = at[firsts], at[ends]
-    return firsts, ends
+    at = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+    return at[firsts], at[ends]
 
 
 def word_codes(text: str) -> bytes:
@@ -233,14 +259,9 @@ def word_codes(text: str) -> bytes:
     while i < len(firsts):
         low = firsts[i]
         j = max(i + 1, int(np.searchsorted(ends, low + PIECE, "right")))
-        data = np.frombuffer(raw[low : ends[j - 1]], np.uint8)
-        powers = np.full(len(data), _BASE, dtype=np.uint64)
-        powers[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * np.cumprod(powers))])
-        back = np.full(len(data), _INVERSE, dtype=np.uint64)
-        back[0] = 1
+        sums = _sums(_BYTES[np.frombuffer(raw, np.uint8, ends[j - 1] - low, low)])
         a, b = firsts[i:j] - low, ends[i:j] - low
-        codes = _mixed((sums[b] - sums[a]) * np.cumprod(back)[a])
+        codes = _mixed((sums[b] - sums[a]) * _powers(len(sums))[1][a])
         out.append(np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
         i = j
     return b"".join(out)
@@ -264,8 +285,9 @@ def stretches(text: bytes, length: int, wanted: np.ndarray | None = None, width:
     grams, places, firsts, lasts = [], [], [], []
     own_gram, length = GRAM if width == 1 else WORD_GRAM, length // width
     for at in range(0, len(text) // width - length + 1, PIECE):
-        h = _mixed(_hashes(_symbols(text[at * width : (at + PIECE + length - 1) * width], width), own_gram))
-        ranked = (h & _U(~((1 << _PLACE) - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64)
+        h = _hashes(_symbols(text[at * width : (at + PIECE + length - 1) * width], width), own_gram)
+        ranked = h & _U(~((1 << _PLACE) - 1) & (1 << 64) - 1)
+        ranked |= np.arange(len(h), dtype=np.uint64)
         q = (_least(ranked, length - own_gram + 1) & _U((1 << _PLACE) - 1)).astype(np.int64)
         edge = q[1:] != q[:-1]
         if wanted is not None:
@@ -304,61 +326,107 @@ def _agreement(parts: list[bytes]) -> list[int]:
     return out
 
 
+def _containers(clips: list[tuple[int, bytes]]) -> list[int]:
+    """For each clip (bytes before the minimizer, bytes), different from the others, the number of one that holds it whole with
+    the minimizer at its place, or -1. Only clips that nothing is found to hold, at most NEIGHBOURS of the last ones by length, are looked at."""
+    out = [-1] * len(clips)
+    outer: list[int] = []
+    for i in sorted(range(len(clips)), key=lambda i: -len(clips[i][1])):
+        before, data = clips[i]
+        for j in outer[-NEIGHBOURS:]:
+            own, other = clips[j]
+            if own >= before and other.startswith(data, own - before):
+                out[i] = j
+                break
+        else:
+            outer.append(i)
+    return out
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, width: int = 1) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, key, copies, off, data), those of a gram one after another: (gram, key, a, b) of starts a to b that repeat.
+    """Rows (gram, key, copies, off, data), those of a gram one after another and among them those of a key:
+    (gram, key, a, b) of starts a to b that repeat.
 
     Equal strings are equal to both sides of their minimizer. So what lies beyond the longest agreement to the left and to the
     right with any other stretch of the minimizer can't be in a repeat: stretches are clipped to it, and equal clips are
-    one, before they are sorted. Symbols have `width` bytes; clips end with whole ones."""
+    one, before they are sorted. A clip that another one holds whole repeats, and so does its place in the other; it is
+    not sorted again. Symbols have `width` bytes; clips end with whole ones."""
     rows: list[tuple] = []
     count = length // width
-    clips: dict[tuple[int, int, bytes], int] = {}
+    names: list[bytes] = []
     times: list[int] = []
+    # Clips to sort; of held ones, that they are; of their holders, the starts that are theirs.
+    alone: list[int] = []
+    held: set[int] = set()
+    inner: dict[int, list[tuple[int, int]]] = {}
     size = 0
 
     def solve() -> pa.RecordBatch:
         # A clip without another one of its minimizer repeats as often as it occurs; it holds a string once at most.
-        several = Counter(gram for gram, _, _ in clips)
-        sorted_ones = [k for k, (gram, _, _) in enumerate(clips) if several[gram] > 1]
-        names = list(clips)
         # Clips by their bytes alone: another minimizer's clips can't hold the same strings.
-        marks = {k: m for k, m in zip(sorted_ones, repeats([names[k][2] for k in sorted_ones], count, width) if sorted_ones else (), strict=True)}
+        marks = dict(zip(alone, repeats([names[k] for k in alone], count, width) if alone else (), strict=True))
         out: tuple[list, ...] = ([], [], [], [])
         for gram, key, copies, n, low, clip in rows:
             if copies > 1:
-                mark = np.ones(n - count + 1, dtype=bool)
+                runs = [(0, n - count + 1)]
             else:
-                mark = np.zeros(n - count + 1, dtype=bool)
-                size = len(names[clip][2]) // width - count + 1
-                mark[low : low + size] = times[clip] > 1 or (marks[clip][:size] if clip in marks else False)
-            for a, b in zip(*_runs(mark), strict=True):
-                for column, value in zip(out, (gram, key, int(a) * width, int(b) * width), strict=True):
+                size = len(names[clip]) // width - count + 1
+                if times[clip] > 1 or clip in held:
+                    runs = [(low, low + size)]
+                elif clip in marks or clip in inner:
+                    mark = marks[clip][:size] if clip in marks else np.zeros(size, dtype=bool)
+                    for a, b in inner.get(clip, ()):
+                        mark[a:b] = True
+                    runs = [(low + a, low + b) for a, b in zip(*(x.tolist() for x in _runs(mark)), strict=True)]
+                else:
+                    continue
+            for a, b in runs:
+                for column, value in zip(out, (gram, key, a * width, b * width), strict=True):
                     column.append(value)
-        rows.clear()
-        clips.clear()
-        times.clear()
+        for x in (rows, names, times, alone, held, inner):
+            x.clear()
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["gram", "key", "a", "b"])
 
-    def settle(group: list[tuple]) -> int:
+    def settle(group: list[list]) -> int:
+        if len(group) == 1:
+            gram, key, copies, off, data = group[0]
+            if copies > 1:
+                rows.append((gram, key, copies, len(data) // width, 0, -1))
+            return 0
         right = _agreement([data[off:] for *_, off, data in group])
         left = _agreement([data[:off][::-1] for *_, off, data in group])
-        added = 0
+        clips: dict[tuple[int, bytes], int] = {}
+        first = len(names)
         for (gram, key, copies, off, data), r, l in zip(group, right, left, strict=True):
             clip = -1
             l, r = l - l % width, r - r % width
             if l + r >= length:
-                name = (gram, l, data[off - l : off + r])
+                name = (l, data[off - l : off + r])
                 clip = clips.get(name, -1)
                 if clip < 0:
                     clip = clips[name] = len(times)
                     times.append(0)
-                    added += len(name[2])
+                    names.append(name[1])
                 times[clip] += 1
             if clip >= 0 or copies > 1:
                 rows.append((gram, key, copies, len(data) // width, (off - l) // width, clip))
-        return added
-
-    group: list[tuple] = []
+        if len(clips) < 2:
+            return 0
+        every = list(clips)
+        outer = []
+        for i, j in enumerate(_containers(every)):
+            if j < 0:
+                outer.append(first + i)
+                continue
+            held.add(first + i)
+            at = (every[j][0] - every[i][0]) // width
+            inner.setdefault(first + j, []).append((at, at + len(every[i][1]) // width - count + 1))
+        if len(outer) < 2:
+            return 0
+        alone.extend(outer)
+        return sum(len(names[k]) for k in outer)
+
+    group: list[list] = []
     for batch in sliced(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if group and group[0][0] != row[0]:
@@ -367,7 +435,10 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, width: int =
                 if size >= SORT_BYTES or len(rows) >= 20_000:
                     yield solve()
                     size = 0
-            group.append(row)
+            if group and group[-1][1] == row[1]:
+                group[-1][2] += row[2]
+            else:
+                group.append(list(row))
     if group:
         settle(group)
     yield solve()
@@ -389,63 +460,146 @@ def _by_hash(strings: DataFrame, length: int, width: int = 1) -> DataFrame:
     return starts.join(twice, "mark").select("gram", "key", "a", (F.col("a") + width).alias("b"))
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, encoded: Callable[[str], bytes] = str.encode, wanted: Callable[[str, int], np.ndarray] | None = None, width: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: rows (row_id, doc_id, n_bytes, sha256) and spans (row_id, spans array<struct<a, b>>, text, doc_id)
-    for the rows that lose bytes. docs: doc_id, text. Spans are places in what `encoded` makes of a text; `wanted` tells
-    which of its starts count; its symbols have `width` bytes."""
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"), 256)).withColumn("row_id", F.unhex("row_id"))
+class Search(NamedTuple):
+    """Strings of `length` bytes of what `encoded` makes of a text, at whole symbols of `width` bytes; `wanted` tells which of
+    its starts count."""
+
+    length: int
+    encoded: Callable[[str], bytes] = str.encode
+    wanted: Callable[[str, int], np.ndarray] | None = None
+    width: int = 1
+
+
+BY_WORDS = Search(CODE * WORDS, encoded=word_codes, width=CODE)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row_id, doc_id, text: rows with equal row_id are copies."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.withColumn("row_id", F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), "text"), 256), 1, 40)))
+
+
+def find_repeats(docs: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: rows (row_id, doc_id, n_bytes, sha256) and spans (row_id, text and, for each search, starts0, starts1,
+    ... array<struct<a, b>> or null) for the rows with repeats. docs: doc_id, text. Starts are places in what `encoded` makes of a
+    text. Texts are read and joined once for all searches; what is cut out of them is sorted for one search after another."""
+    keyed = _keyed(docs)
+    # Minimizers of different searches differ in their lowest bits.
+    low = (1 << (len(searches) - 1).bit_length()) - 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            columns: list[list] = [[] for _ in range(5)]
+            columns: list[list] = [[] for _ in range(6)]
             for text in batch.column("text").to_pylist():
                 raw = text.encode()
-                found = stretches(encoded(text), length, wanted and wanted(text, length), width)
-                for column, values in zip(columns[:4], found, strict=True):
-                    column.append(values)
-                columns[4].append((len(raw), hashlib.sha256(raw).hexdigest()))
+                found = []
+                for k, x in enumerate(searches):
+                    gram, *rest = stretches(raw if x.encoded is str.encode else x.encoded(text), x.length, x.wanted and x.wanted(text, x.length), x.width)
+                    found.append((gram & ~np.int64(low) | np.int64(k), *rest))
+                for column, values in zip(columns, zip(*found, strict=True), strict=False):
+                    column.append(np.concatenate(values))
+                columns[4].append(len(raw))
+                columns[5].append(hashlib.sha256(raw).hexdigest())
             lists = [pa.array(c, pa.list_(pa.int64() if i == 0 else pa.int32())) for i, c in enumerate(columns[:4])]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array([x[0] for x in columns[4]], pa.int64()), pa.array([x[1] for x in columns[4]]), *lists], names=["row_id", "doc_id", "n_bytes", "sha256", "gram", "at", "first", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.string()), *lists], names=["row_id", "doc_id", "n_bytes", "sha256", "gram", "at", "first", "last"])
 
-    rows = written(keyed.mapInArrow(scan, "row_id binary, doc_id long, n_bytes long, sha256 string, gram array<long>, at array<int>, first array<int>, last array<int>"), "rows")
-    places = rows.select("row_id", F.explode(F.arrays_zip("gram", "at", "first", "last")).alias("x")).select("row_id", "x.*")
+    scanned = written(keyed.select("row_id", "doc_id", "text").mapInArrow(scan, "row_id binary, doc_id long, n_bytes long, sha256 string, gram array<long>, at array<int>, first array<int>, last array<int>"), "scanned")
+    places = scanned.select("row_id", F.explode(F.arrays_zip("gram", "at", "first", "last")).alias("x")).select("row_id", "x.*")
     common = written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    held = places.join(common, "gram").groupBy("row_id").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("places"))
+    held = places.join(common.hint("shuffle_hash"), "gram").groupBy("row_id").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("places"))
     held = written(held, "held")
+    rows = written(scanned.select("row_id", "doc_id", "n_bytes", "sha256"), "rows")
+    forget(common, scanned)
     # Rows with equal row_id are copies: as many rows take part as there are.
-    texts = written(keyed.join(held, "row_id").select("row_id", "doc_id", "text", "places"), "texts")
+    texts = written(keyed.join(held, "row_id").select("row_id", "text", "places"), "texts")
+    forget(held)
+    found = [_starts(texts, x, k, low) for k, x in enumerate(searches)]
+    names = [f"starts{k}" for k in range(len(found))]
+    every = [x.select("row_id", *((F.col("starts") if i == k else F.lit(None).cast(x.schema["starts"].dataType)).alias(c) for i, c in enumerate(names))) for k, x in enumerate(found)]
+    merged = every[0] if len(every) == 1 else reduce(DataFrame.unionByName, every).groupBy("row_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in names))
+    spans = written(texts.select("row_id", "text").join(merged, "row_id").dropDuplicates(["row_id"]), "spans")
+    forget(texts, *found)
+    return rows, spans
+
+
+def _starts(texts: DataFrame, search: Search, number: int, low: int) -> DataFrame:
+    """A written table: row_id, starts array<struct<a, b>> of the search's strings that repeat. texts: row_id, text, places."""
+    length, encoded, _, width = search
+    spark = texts.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row for each stretch's place in a text, and for each distinct stretch of the task one with its bytes and copies.
+        kept: dict[bytes, list] = {}
+        done: set[bytes] = set()
+        size = 0
+
+        def made(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, piece, strict=True)], schema=piece)
+
+        def distinct() -> pa.RecordBatch:
+            columns: list[list] = [list(c) for c in zip(*kept.values(), strict=True)] or [[], [], [], []]
+            out = made([columns[0], list(kept), [None] * len(kept), [None] * len(kept), *columns[1:]])
+            kept.clear()
+            return out
+
         for batch in sliced(batches):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for row_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("row_id", "text", "places")), strict=True):
+            grams, keys, ids, starts = [], [], [], []
+            places = batch.column("places")
+            fields = [np.asarray(c) for c in places.flatten().flatten()]
+            own = (fields[0] & low) == number
+            ends = np.concatenate([[0], np.cumsum(own)])[np.cumsum(pc.list_value_length(places))].tolist()
+            fields = [f[own].tolist() for f in fields]
+            stop = 0
+            for row_id, text, end in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), ends, strict=True):
+                start, stop = stop, end
+                if start == stop:
+                    continue
+                # Copies add to the stretches' copies only.
+                again = row_id in done
+                done.add(row_id)
                 raw = encoded(text)
-                for gram, at, first, last in {(p["gram"], p["at"], p["first"], p["last"]) for p in found}:
+                for gram, at, first, last in set(zip(*(f[start:stop] for f in fields), strict=True)):
                     data = raw[first : last + length]
                     key = hashlib.blake2b(b"%d:" % (at - first) + data, digest_size=16).digest()
-                    for column, value in zip(out, (gram, key, row_id, first, at - first, data), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "row_id", "first", "off", "data"])
-
-    pieces = written(texts.select("row_id", "text", "places").mapInArrow(cut, "gram long, key binary, row_id binary, first int, off int, data binary"), "pieces")
-    strings = written(pieces.groupBy("gram", "key").agg(F.count(F.lit(1)).alias("copies"), F.first("off").alias("off"), F.first("data").alias("data")), "strings")
-    sizes = strings.groupBy("gram").agg(F.sum(F.octet_length("data")).alias("size"), F.sum("copies").alias("n")).where("n > 1")
+                    if key in kept:
+                        kept[key][3] += 1
+                    else:
+                        kept[key] = [gram, at - first, data, 1]
+                        size += len(data)
+                    if not again:
+                        grams.append(gram)
+                        keys.append(key)
+                        ids.append(row_id)
+                        starts.append(first)
+            none = [None] * len(grams)
+            yield made([grams, keys, ids, starts, none, none, none])
+            if size >= KEPT_BYTES:
+                yield distinct()
+                size = 0
+        yield distinct()
+
+    piece = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("row_id", pa.binary()), ("first", pa.int32()), ("off", pa.int32()), ("data", pa.binary()), ("copies", pa.int64())])
+    pieces = written(texts.select("row_id", "text", "places").mapInArrow(cut, "gram long, key binary, row_id binary, first int, off int, data binary, copies long"), "pieces")
+    # A stretch has a row for each task that found it.
+    strings = pieces.where("data is not null").select("gram", "key", "copies", "off", "data")
+    each = strings.select("gram", "key", "copies", F.octet_length("data").alias("size")).groupBy("gram", "key").agg(F.sum("copies").alias("copies"), F.max("size").alias("size"))
+    sizes = each.groupBy("gram").agg(F.sum("size").alias("size"), F.sum("copies").alias("n")).where("n > 1")
     large = written(sizes.where(F.col("size") > GROUP_BYTES).select("gram"), "large-grams")
-    small = strings.join(large, "gram", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = small.select("gram", "key", "copies", "off", "data").repartition(parts, "gram").sortWithinPartitions("gram")
+    some_large = bool(large.limit(1).count())
+    small = strings.join(large, "gram", "left_anti") if some_large else strings
+    ordered = small.select("gram", "key", "copies", "off", "data").repartition(parts, "gram").sortWithinPartitions("gram", "key")
     found = ordered.mapInArrow(lambda batches: _sorted_groups(batches, length, width), "gram long, key binary, a int, b int")
-    if large.limit(1).count():
-        found = found.unionByName(_by_hash(strings.join(large, "gram").select("gram", "key", "copies", "data"), length, width))
-    members = pieces.select("gram", "key", "row_id", "first").distinct()
+    if some_large:
+        whole = strings.join(large, "gram").groupBy("gram", "key").agg(F.sum("copies").alias("copies"), F.first("data").alias("data"))
+        found = found.unionByName(_by_hash(whole, length, width))
+    # A copy's places may be there for each task that found it; covered() takes them as one.
+    members = pieces.where("row_id is not null").select("gram", "key", "row_id", "first")
     repeated = written(found, "repeats")
-    spans = members.join(repeated, ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
-    spans = written(texts.select("row_id", "text").distinct().join(spans, "row_id"), "spans")
-    forget(common, held, texts, pieces, strings, large, repeated)
-    out = rows.select("row_id", "doc_id", "n_bytes", "sha256")
-    out.written_at = rows.written_at
-    return out, spans
+    starts = members.join(repeated, ["gram", "key"]).groupBy("row_id").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
+    starts = written(starts, "starts")
+    forget(pieces, large, repeated)
+    return starts
 
 
 def covered(starts: list[dict], length: int) -> list[tuple[int, int]]:
@@ -468,32 +622,34 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def removal_and_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """removal()'s columns, and n_passages and passage_bytes of passage_counts(), which removes nothing."""
-    counts, zero = passage_counts(docs), F.lit(0).cast("long")
-    joined = removal(docs, length, keep_text=True).drop("kept").join(counts, "row_id", "left").drop("row_id")
-    return joined.withColumn("n_passages", F.coalesce("n_passages", zero)).withColumn("passage_bytes", F.coalesce("passage_bytes", zero))
+    """removal()'s columns, and n_passages and passage_bytes: maximal runs of passages of WORDS words that occur elsewhere too,
+    which aren't removed."""
+    return removal(docs, length, passages_too=True).drop("row_id", "kept")
 
 
-def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, row_id and kept (binary, null: nothing removed)."""
-    rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
+def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, passages_too: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, n_passages and passage_bytes, row_id and kept (binary,
+    null: nothing removed)."""
+    rows, spans = find_repeats(docs, [Search(length), *([BY_WORDS] * passages_too)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            removed, n, digests, texts = [], [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
-                runs = covered(starts, length)
+            columns: list[list] = [[] for _ in range(6)]
+            words = batch.column("starts1").to_pylist() if passages_too else [None] * batch.num_rows
+            for text, starts, coded in zip(batch.column("text").to_pylist(), batch.column("starts0").to_pylist(), words, strict=True):
+                runs = covered(starts or [], length)
                 kept = _kept(text.encode(), runs)
-                removed.append(sum(b - a for a, b in runs))
-                n.append(len(runs))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(digests), *([pa.array(texts, pa.binary())] * keep_text)], names=["row_id", "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep_text)])
+                found = passages(text, coded, [], 0) if coded else []
+                for column, value in zip(columns, (sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), len(found), sum(b - a for a, b in found), kept if runs else None), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *(pa.array(c, f.type) for c, f in zip(columns, out, strict=False))][: 1 + len(out)], names=["row_id", *out.names])
 
-    cuts = spans.select("row_id", "text", "starts").mapInArrow(cut, "row_id binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    out = pa.schema([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("passage_bytes", pa.int64()), *([("kept", pa.binary())] * keep_text)])
+    cuts = spans.mapInArrow(cut, "row_id binary, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long" + ", kept binary" * keep_text)
     joined = rows.join(cuts, "row_id", "left")
     zero = F.lit(0).cast("long")
-    return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["row_id", "kept"] * keep_text))
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_removed", "n_spans", "n_passages", "passage_bytes")]
+    return joined.select("doc_id", "n_bytes", *counts[:2], F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(counts[2:] * passages_too), *(["row_id", "kept"] * keep_text))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -514,42 +670,24 @@ def passages(text: str, words: list[dict], strings: list[dict], length: int) ->
     return covered(found, length)
 
 
-def passage_counts(docs: DataFrame) -> DataFrame:
-    """row_id, n_passages, passage_bytes: maximal runs of passages of WORDS words that occur elsewhere too, for the rows that
-    have any; one row for copies."""
-    rows, spans = find_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), CODE * WORDS, encoded=word_codes, width=CODE)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            runs = [passages(text, starts, [], 0) for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True)]
-            counts = [pa.array([len(r) for r in runs], pa.int64()), pa.array([sum(b - a for a, b in r) for r in runs], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *counts], names=["row_id", "n_passages", "passage_bytes"])
-
-    out = written(spans.select("row_id", "text", "starts").mapInArrow(count, "row_id binary, n_passages long, passage_bytes long"), "passage-counts")
-    forget(rows, spans)
-    return out
-
-
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of docs without passages of WORDS words, or of `length` bytes, that occur elsewhere too; else as
     without_repeats."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    _, words = find_repeats(own, CODE * WORDS, encoded=word_codes, width=CODE)
-    _, strings = find_repeats(own, length, wanted=few_words)
-    both = words.withColumnRenamed("starts", "words").join(strings.select("row_id", F.col("text").alias("same"), F.col("starts").alias("strings")), "row_id", "full")
+    rows, spans = find_repeats(docs, [BY_WORDS, Search(length, wanted=few_words)])
+    forget(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            kept = [_kept(text.encode(), passages(text, w or [], s or [], length)) for text, w, s in zip(*(batch.column(c).to_pylist() for c in ("text", "words", "strings")), strict=True)]
+            kept = [_kept(text.encode(), passages(text, w or [], s or [], length)) for text, w, s in zip(*(batch.column(c).to_pylist() for c in ("text", "starts0", "starts1")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(kept, pa.binary())], names=["row_id", "kept"])
 
-    return _replaced(docs, both.select("row_id", F.coalesce("text", "same").alias("text"), "words", "strings").mapInArrow(cut, "row_id binary, kept binary"))
+    return _replaced(docs, spans.mapInArrow(cut, "row_id binary, kept binary"))
 
 
 def _replaced(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with what is kept of the texts found (row_id, kept), each named once."""
     row, kept = free_name(docs, "row_id"), free_name(docs, "kept")
-    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+    key = F.unhex(F.substring(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256), 1, 40))
     joined = docs.withColumn(row, key).join(found.select(F.col("row_id").alias(row), F.col("kept").alias(kept)), row, "left")
     clean = F.when(F.col(kept).isNotNull(), F.try_validate_utf8(F.col(kept).cast("string"))).otherwise(F.col("text"))
     repaired = F.coalesce(clean, F.when(F.col(kept).isNotNull(), F.make_valid_utf8(F.col(kept).cast("string"))))

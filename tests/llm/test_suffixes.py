@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.llm import suffixes
@@ -98,3 +99,45 @@ def test_repeats_of_wide_symbols():
             seen[x[i : i + 12]] = seen.get(x[i : i + 12], 0) + 1
     for x, found in zip(strings, suffixes.repeats(strings, 4, 3), strict=True):
         assert found.tolist() == [len(x[i : i + 12]) == 12 and seen[x[i : i + 12]] > 1 for i in range(0, len(x), 3)]
+
+
+def test_clips_that_another_one_holds_are_not_sorted(monkeypatch):
+    # Stretches of one minimizer: shorter and shorter parts of two texts that differ at one side, in other surroundings.
+    r = random.Random(12)
+    some = lambda n: bytes(r.choices(b"abcdefgh", k=n))
+    middle, sides = some(100), [(some(300), some(300)), (some(300), some(300))]
+    sides[1] = (sides[0][0][-150:], sides[1][1])
+    rows = []
+    for k in range(40):
+        left, right = sides[k % 2]
+        a, b = left[max(0, len(left) - 290 + 6 * k) :], right[: 290 - 5 * k]
+        off = some(3) + a
+        rows.append((7, b"%02d" % k, 1, len(off), off + middle + b + some(3)))
+    seen = Counter(x[4][i : i + 200] for x in rows for i in range(len(x[4]) - 199))
+    sorted_bytes = []
+    repeats = suffixes.repeats
+    monkeypatch.setattr(suffixes, "repeats", lambda strings, *more: (sorted_bytes.extend(map(len, strings)), repeats(strings, *more))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "copies", "off", "data"])
+    found = defaultdict(set)
+    for out in suffixes._sorted_groups(iter([batch]), 200):
+        for x in out.to_pylist():
+            found[x["key"]] |= set(range(x["a"], x["b"]))
+    for _, key, _, _, data in rows:
+        assert found[key] == {i for i in range(len(data) - 199) if seen[data[i : i + 200]] > 1}
+    assert sum(sorted_bytes) < sum(len(x[4]) for x in rows) / 4
+
+
+def test_a_stretch_found_by_several_tasks_is_one(monkeypatch):
+    r = random.Random(13)
+    data = bytes(r.choices(b"abcdefgh", k=500))
+    rows = [(1, b"x", 2, 100, data), (1, b"x", 3, 100, data), (2, b"y", 1, 50, data[:450]), (2, b"z", 1, 50, data[:450][::-1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "copies", "off", "data"])
+    assert [x for out in suffixes._sorted_groups(iter([batch]), 400) for x in out.to_pylist()] == [{"gram": 1, "key": b"x", "a": 0, "b": 101}]
+
+
+def test_repeated_rows_are_copies_for_both_searches(spark):
+    r = random.Random(14)
+    text = " ".join("".join(r.choices("abcdefg", k=4)) for _ in range(100))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, None), (2, "x" * 399)], "doc_id long, text string")
+    out = sorted((x.doc_id or 0, x.n_removed, x.n_passages, x.passage_bytes) for x in suffixes.removal_and_passages(docs.repartition(3)).collect())
+    assert out == [(0, 0, 0, 0), (1, len(text), 1, len(text)), (1, len(text), 1, len(text)), (2, 0, 0, 0)]
