@@ -49,7 +49,7 @@ SORT_BYTES = 64 << 10
 #: Clips that may hold another one whole, of those of a minimizer.
 NEIGHBOURS = 256
 #: Bytes of stretches of which a task keeps one for its copies, before it passes them on.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 4 << 20
 #: Bytes of text whose minimizers are computed at once; places in it take 24 bits.
 PIECE = 2 << 20
 _PLACE = 24
@@ -63,6 +63,7 @@ _LETTER, _SPACE, _WHOLE = 0, 1, 2
 #: Longest text whose powers are kept.
 KEPT_POWERS = 1 << 17
 _made: dict[str, np.ndarray] = {}
+_NONE = (np.zeros(0, dtype=np.int64),) * 2
 
 
 def _kinds() -> np.ndarray:
@@ -602,15 +603,21 @@ def _starts(texts: DataFrame, search: Search, number: int, low: int) -> DataFram
     return starts
 
 
-def covered(starts: list[dict], length: int) -> list[tuple[int, int]]:
+def _ranges(starts: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's starts as arrays a and b; null is none."""
+    a, b = (np.asarray(c, dtype=np.int64) for c in starts.flatten().flatten())
+    cuts = np.cumsum([0, *pc.list_value_length(starts).fill_null(0).to_pylist()]).tolist()
+    return [(a[i:j], b[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def covered(starts: tuple[np.ndarray, np.ndarray], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that strings from the starts (ranges a to b) cover."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"] - 1 + length) for s in starts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    order = np.argsort(starts[0], kind="stable")
+    if not len(order):
+        return []
+    a, stops = starts[0][order], np.maximum.accumulate(starts[1][order] - 1 + length)
+    first = np.concatenate([[0], np.flatnonzero(a[1:] > stops[:-1]) + 1])
+    return list(zip(a[first].tolist(), stops[np.append(first[1:], len(a)) - 1].tolist(), strict=True))
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -635,11 +642,11 @@ def removal(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, pass
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             columns: list[list] = [[] for _ in range(6)]
-            words = batch.column("starts1").to_pylist() if passages_too else [None] * batch.num_rows
-            for text, starts, coded in zip(batch.column("text").to_pylist(), batch.column("starts0").to_pylist(), words, strict=True):
-                runs = covered(starts or [], length)
+            words = _ranges(batch.column("starts1")) if passages_too else [_NONE] * batch.num_rows
+            for text, starts, coded in zip(batch.column("text").to_pylist(), _ranges(batch.column("starts0")), words, strict=True):
+                runs = covered(starts, length)
                 kept = _kept(text.encode(), runs)
-                found = passages(text, coded, [], 0) if coded else []
+                found = passages(text, coded, _NONE, 0) if len(coded[0]) else []
                 for column, value in zip(columns, (sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), len(found), sum(b - a for a, b in found), kept if runs else None), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), *(pa.array(c, f.type) for c, f in zip(columns, out, strict=False))][: 1 + len(out)], names=["row_id", *out.names])
@@ -658,16 +665,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _replaced(docs, removal(docs, length, keep_text=True).where("kept is not null").select("row_id", "kept").dropDuplicates(["row_id"]))
 
 
-def passages(text: str, words: list[dict], strings: list[dict], length: int) -> list[tuple[int, int]]:
+def passages(text: str, words: tuple[np.ndarray, np.ndarray], strings: tuple[np.ndarray, np.ndarray], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes in repeated passages: starts among the codes of the words, and starts of strings of bytes."""
     firsts, ends = word_places(text)
-    found = [{"a": a, "b": b + 1 - length} for a, b in covered(strings, length)]
-    for x in words:
-        # Only codes' own beginnings are words.
-        a, b = -(-x["a"] // CODE), -(-x["b"] // CODE)
-        if a < b:
-            found.append({"a": int(firsts[a]), "b": int(ends[b - 2 + WORDS]) + 1 - length})
-    return covered(found, length)
+    # Only codes' own beginnings are words.
+    a, b = (-(-x // CODE) for x in words)
+    a, b = a[a < b], b[a < b]
+    runs = np.array(covered(strings, length), dtype=np.int64).reshape(-1, 2)
+    return covered((np.concatenate([runs[:, 0], firsts[a]]), np.concatenate([runs[:, 1], ends[b - 2 + WORDS]]) + 1 - length), length)
 
 
 def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -678,7 +683,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            kept = [_kept(text.encode(), passages(text, w or [], s or [], length)) for text, w, s in zip(*(batch.column(c).to_pylist() for c in ("text", "starts0", "starts1")), strict=True)]
+            kept = [_kept(text.encode(), passages(text, w, s, length)) for text, w, s in zip(batch.column("text").to_pylist(), *(_ranges(batch.column(c)) for c in ("starts0", "starts1")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(kept, pa.binary())], names=["row_id", "kept"])
 
     return _replaced(docs, spans.mapInArrow(cut, "row_id binary, kept binary"))
