@@ -125,7 +125,7 @@ def define(register, F=F, S=S, A=A, W=W) -> None:
     }
     for _name, (_sql, _col) in _AGGS.items():
         q(f"agg_{_name}", f"select l_returnflag, {_sql} as v from lineitem group by l_returnflag", lambda s, d, c=_col: T(s, d, "lineitem").groupBy("l_returnflag").agg(c.alias("v")))
-    for _name, _col in {"uniq": F.approx_count_distinct("l_partkey"), "uniq_hll12": F.approx_count_distinct("l_partkey", 0.016), "uniq_combined": F.approx_count_distinct("l_partkey", 0.01), "uniq_raw_res": F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")), "quantile": F.percentile_approx("l_extendedprice", 0.5), "quantiles": F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.9]), "quantile_deterministic": F.percentile_approx("l_extendedprice", 0.9, 100000), "quantile_timing": F.percentile_approx(F.col("l_quantity").cast("int"), 0.9), "quantile_tdigest": F.percentile_approx("l_extendedprice", 0.99)}.items():
+    for _name, _col in {"uniq": A.uniq(F.col("l_partkey")), "uniq_hll12": F.approx_count_distinct("l_partkey", 0.016), "uniq_combined": F.approx_count_distinct("l_partkey", 0.01), "uniq_raw_res": F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")), "quantile": F.percentile_approx("l_extendedprice", 0.5), "quantiles": F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.9]), "quantile_deterministic": F.percentile_approx("l_extendedprice", 0.9, 100000), "quantile_timing": F.percentile_approx(F.col("l_quantity").cast("int"), 0.9), "quantile_tdigest": F.percentile_approx("l_extendedprice", 0.99)}.items():
         q(f"agg_{_name}", None, lambda s, d, c=_col: T(s, d, "lineitem").groupBy("l_returnflag").agg(c.alias("v")))
     q("agg_min_count", "select l_returnflag, count(*) as n from lineitem t where l_quantity = (select min(l_quantity) from lineitem u where u.l_returnflag = t.l_returnflag) group by 1", lambda s, d: A.extreme_count(T(s, d, "lineitem"), ["l_returnflag"], "l_quantity", False))
     q("agg_max_count", "select l_returnflag, count(*) as n from lineitem t where l_quantity = (select max(l_quantity) from lineitem u where u.l_returnflag = t.l_returnflag) group by 1", lambda s, d: A.extreme_count(T(s, d, "lineitem"), ["l_returnflag"], "l_quantity", True))
