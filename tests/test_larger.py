@@ -20,3 +20,10 @@ def test_uniq_of_few(spark):
     x = spark.range(60_000).select((F.col("id") % 30_000).alias("x"), F.lit(None).cast("long").alias("none"))
     assert tuple(x.agg(A.uniq(F.col("x")), A.uniq(F.col("none"))).first()) == (30_000, 0)
     assert x.limit(0).agg(A.uniq(F.col("x"))).first()[0] == 0
+
+
+def test_ipv4_beyond_32_bits(spark, tmp_path):
+    keys = [0, 1, 61_356, 61_357, 89_999, 5_399_999]
+    spark.createDataFrame([(k, 0, 0.0, "") for k in keys], "c_custkey long, c_nationkey int, c_acctbal double, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["fn_tidb_ipv4_string_to_num"](spark, str(tmp_path)).collect()
+    assert {r["k"]: r["v"] for r in got} == {k: k * 70_000 for k in keys}
