@@ -1,7 +1,9 @@
 """Queries whose results or work went wrong on tables larger than the given ones."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars as S
 from lodestone.operators import aggregates as A
 from lodestone.plans import registry
 
@@ -27,3 +29,22 @@ def test_ipv4_beyond_32_bits(spark, tmp_path):
     spark.createDataFrame([(k, 0, 0.0, "") for k in keys], "c_custkey long, c_nationkey int, c_acctbal double, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     got = registry.queries()["fn_tidb_ipv4_string_to_num"](spark, str(tmp_path)).collect()
     assert {r["k"]: r["v"] for r in got} == {k: k * 70_000 for k in keys}
+
+
+def test_day_number_of_fractions(spark):
+    times = {
+        "2024-01-31 00:00:00": 19753, "2024-01-31 23:59:59.499999": 19753, "2024-01-31 23:59:59.5": 19754, "2024-01-31 23:59:59.999999": 19754,
+        "2024-01-31 12:00:00.5": 19753, "1970-01-01 23:59:59.5": 1, "1969-12-31 23:59:59.7": 0, "1969-12-30 23:59:59.6": -1, "1969-12-30 23:59:59.4": -1,
+    }
+    sql = registry.oracle_sql()["fn_to_relative_day_num"]
+    duck = duckdb.connect()
+    duck.execute("create table events as select row_number() over () as event_id, unnest as ts from unnest(?::timestamp[])", [list(times)])
+    assert [v for _, v in duck.execute(f"select * from ({sql}) order by k").fetchall()] == list(times.values())
+    rows = spark.createDataFrame(list(enumerate(times)), "i int, t string").select("i", S.day_number(F.col("t").cast("timestamp_ntz")).alias("v"))
+    assert [r["v"] for r in rows.orderBy("i").collect()] == list(times.values())
+
+
+def test_last_half_second_of_a_day(spark, tmp_path):
+    made = spark.sql("select 1L as event_id, timestamp_ntz'2024-01-31 23:59:59.5' as ts, 1L as user_id, '' as event_type, 0d as value, '{}' as props")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    assert registry.queries()["fn_to_relative_day_num"](spark, str(tmp_path)).first()["v"] == 19754
