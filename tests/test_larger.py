@@ -48,3 +48,20 @@ def test_last_half_second_of_a_day(spark, tmp_path):
     made = spark.sql("select 1L as event_id, timestamp_ntz'2024-01-31 23:59:59.5' as ts, 1L as user_id, '' as event_type, 0d as value, '{}' as props")
     made.write.parquet(f"{tmp_path}/events.parquet")
     assert registry.queries()["fn_to_relative_day_num"](spark, str(tmp_path)).first()["v"] == 19754
+
+
+def named(spark, column):
+    """How often the optimized plan of a column names its input."""
+    plan = spark.createDataFrame([("",)], "given string").repartition(2).select(column.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    return plan.partition("\n")[0].count("given#")
+
+
+def test_addresses_are_found_once_a_row(spark):
+    assert named(spark, S.inet6_ntoa(S.inet6_aton(F.col("given")))) == named(spark, S.inet6_aton(F.col("given"))) == 1
+    assert named(spark, S.inet6_ntoa(F.col("given").cast("binary"))) == 1
+
+
+def test_addresses_of_every_form(spark):
+    rows = spark.createDataFrame(list(enumerate([None, "::", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "0:0:1:0:0:0:0:1", "::ffff:1.2.3.4", "::ffff:1.2.3.256", "1.2.3.4", "256.1.1.1", "12345::", "A:0:0:b:0:0:0:1"])), "i int, a string")
+    got = [r["v"] for r in rows.orderBy("i").select(S.inet6_ntoa(S.inet6_aton(F.col("a"))).alias("v")).collect()]
+    assert got == [None, "::", "1::", "1:2:3:4:5:6:7:8", None, None, "0:0:1::1", "::ffff:102:304", None, "1.2.3.4", None, None, "a:0:0:b::1"]
