@@ -1,6 +1,9 @@
 """Queries whose results or work went wrong on tables larger than the given ones."""
 
+import re
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
@@ -65,3 +68,20 @@ def test_addresses_of_every_form(spark):
     rows = spark.createDataFrame(list(enumerate([None, "::", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "0:0:1:0:0:0:0:1", "::ffff:1.2.3.4", "::ffff:1.2.3.256", "1.2.3.4", "256.1.1.1", "12345::", "A:0:0:b:0:0:0:1"])), "i int, a string")
     got = [r["v"] for r in rows.orderBy("i").select(S.inet6_ntoa(S.inet6_aton(F.col("a"))).alias("v")).collect()]
     assert got == [None, "::", "1::", "1:2:3:4:5:6:7:8", None, None, "0:0:1::1", "::ffff:102:304", None, "1.2.3.4", None, None, "a:0:0:b::1"]
+
+
+@pytest.mark.parametrize("name", ["uniq", "uniq_hll12", "uniq_combined", "uniq_raw_res"])
+def test_no_sketch_for_each_distinct_value(spark, tmp_path, name):
+    run = registry.queries()[f"agg_{name}_within"](spark, items(spark, tmp_path, 100))
+    aggregates = [x for x in run._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(" in x]
+    keys = [re.search(r"keys?=\[(.*?)\]", x)[1] for x in aggregates]
+    sketched = [re.search("approx_count_distinct|sketch_agg", x) is not None for x in aggregates]
+    assert any("l_partkey" in k for k in keys) and any(sketched)
+    assert not any("l_partkey" in k and s for k, s in zip(keys, sketched, strict=True))
+    assert [tuple(r) for r in run.collect()] == [("R", True)]
+
+
+def test_counts_of_groups_without_key_or_values(spark, tmp_path):
+    spark.createDataFrame([(None, 1), (None, 2), ("A", None)], "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("uniq", "uniq_hll12", "uniq_combined", "uniq_raw_res"):
+        assert {tuple(r) for r in registry.queries()[f"agg_{name}_within"](spark, str(tmp_path)).collect()} == {(None, True), ("A", True)}
