@@ -1,5 +1,6 @@
 """Queries whose results or work went wrong on tables larger than the given ones."""
 
+import math
 import re
 
 import duckdb
@@ -85,3 +86,14 @@ def test_counts_of_groups_without_key_or_values(spark, tmp_path):
     spark.createDataFrame([(None, 1), (None, 2), ("A", None)], "l_returnflag string, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     for name in ("uniq", "uniq_hll12", "uniq_combined", "uniq_raw_res"):
         assert {tuple(r) for r in registry.queries()[f"agg_{name}_within"](spark, str(tmp_path)).collect()} == {(None, True), ("A", True)}
+
+
+def test_erf_without_a_series(spark):
+    xs = [0.0, 1e-300, -1e-9, 0.3, 0.84, 0.85, -1.2, 1.3, 2.4, 2.8, -2.9, 4.5, 5.99, 6.0, -7.0, float("inf"), float("-inf"), None]
+    made = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", S.erf(F.col("x")).alias("v"))
+    got = [r["v"] for r in made.orderBy("i").collect()]
+    assert got == [None if x is None else pytest.approx(math.erf(x), rel=1e-15) for x in xs]
+    assert made.where(F.col("i") == 1).first()["v"] > 0
+    for name in ("fn_erf", "fn_erfc"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "aggregate(" not in plan and plan.count("c_nationkey#") <= 3
